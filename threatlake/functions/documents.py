@@ -1,50 +1,35 @@
-"""Typed reading of JSON text through VARIANT: presence, JSON type and value of a field."""
+"""Typed reading of JSON text.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, functions as F
-
-
-def parsed(text: Column) -> Column:
-    """VARIANT of a JSON text, NULL when it does not parse."""
-    return F.try_parse_json(text)
-
-
-def field(doc: Column, name: str) -> Column:
-    return F.try_variant_get(doc, f"$.{name}", "variant")
-
-
-def json_type(value: Column) -> Column:
-    """``object``, ``array``, ``string``, ``integer``, ``number``, ``boolean`` or ``null``; NULL when absent."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "BIGINT", "integer")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "number")
-        .when(kind == "BOOLEAN", "boolean")
-        .otherwise("null")
-    )
+``from_json`` with a typed schema already refuses the wrong kind of value: a quoted ``"80"`` or
+``80.0`` is no BIGINT, a boolean is no DOUBLE, a text is no array or map, and each becomes NULL.
+Only STRING takes any kind, so plain texts are declared VARIANT and asked for their kind.
+"""
 
+from __future__ import annotations
 
-def string(doc: Column, name: str) -> Column:
-    return F.try_variant_get(doc, f"$.{name}", "string")
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def number(doc: Column, name: str) -> Column:
-    return F.try_variant_get(doc, f"$.{name}", "double")
+def unpack(df: DataFrame, text: Column, schema: str) -> DataFrame:
+    """Add ``__keys`` (names in the object, NULL when ``text`` is no JSON object) and ``__doc``."""
+    valid = F.try_parse_json(text).isNotNull()
+    return df.withColumns({
+        "__keys": F.when(valid, F.json_object_keys(text)),
+        "__doc": F.from_json(text, schema),
+    })
 
 
-def is_object(doc: Column) -> Column:
-    return F.coalesce(json_type(doc) == "object", F.lit(False))
+def plain_text(value: Column) -> Column:
+    """Content of a VARIANT that holds a string; NULL for other kinds."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def document_text(answer: Column) -> Column:
     """JSON object inside an answer text: the whole text, else the last fenced block that parses."""
+
+    def is_object(text: Column) -> Column:
+        return F.try_parse_json(text).isNotNull() & F.json_object_keys(text).isNotNull()
+
     fenced = F.regexp_extract_all(answer, F.lit("(?i)```(?:json)?\\s*([\\s\\S]*?)\\s*```"), F.lit(1))
-    usable = F.filter(fenced, lambda b: is_object(parsed(b)))
-    return F.when(is_object(parsed(F.trim(answer))), F.trim(answer)).when(
-        F.size(usable) > 0, F.element_at(usable, -1)
-    )
+    whole = F.trim(answer)
+    return F.when(is_object(whole), whole).otherwise(F.try_element_at(F.filter(fenced, is_object), F.lit(-1)))

@@ -7,69 +7,76 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from threatlake.contracts import (
     ALERT_FIELDS, ALERT_ID_PATTERN, ALERT_PROTOCOLS, ALERT_SEVERITIES, MITRE_FIELDS, TECHNIQUE_PATTERN,
 )
-from threatlake.functions.documents import field, is_object, json_type, number, parsed, string
+from threatlake.functions.documents import plain_text, unpack
 from threatlake.functions.network import iso_time
 from threatlake.session import materialise
 
 
 def codes(*checks: tuple[Column, str]) -> Column:
-    """Codes of the checks that hold, in order."""
+    """Codes of the checks that hold (or cannot be decided), in order."""
     return F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(True)), F.lit(code)) for hit, code in checks]))
 
 
-def staged_errors(doc: Column, required: tuple[str, ...], checks: Column) -> Column:
-    """Missing fields end the check; otherwise the value checks count."""
-    missing = codes(*[(field(doc, f).isNull(), f"missing:{f}") for f in required])
-    return (
-        F.when(~is_object(doc), F.array(F.lit("not_object")))
-        .when(F.size(missing) > 0, missing)
-        .otherwise(checks)
-    )
+def outside(name: str, low: float, high: float) -> Column:
+    """TRUE unless the number is in range (NULL: not a number)."""
+    return ~F.col(f"__doc.{name}").between(low, high)
+
+
+def not_one_of(name: str, allowed: tuple[str, ...]) -> Column:
+    return ~F.col(f"__doc.{name}").isin(*allowed)
+
 
+def check_documents(df: DataFrame, text: Column, schema: str, required: tuple[str, ...], checks: Column) -> DataFrame:
+    """Add ``errors``: ``not_object``, else the missing fields, else the codes of ``checks``.
 
-def _kind(doc: Column, name: str) -> Column:
-    return json_type(field(doc, name))
+    To split on ``errors``, write the result first: a filter on it would repeat the parsing.
+    """
+    missing = F.array_except(F.array(*[F.lit(f) for f in required]), F.col("__keys"))
+    ready = unpack(df, text, schema).withColumn("__missing", missing)
+    errors = (
+        F.when(F.col("__keys").isNull(), F.array(F.lit("not_object")))
+        .when(F.size("__missing") > 0, F.transform("__missing", lambda f: F.concat(F.lit("missing:"), f)))
+        .otherwise(checks)
+    )
+    return ready.withColumn("errors", errors).drop("__missing", "__keys", "__doc")
 
 
-def _share(doc: Column, name: str) -> Column:
-    """TRUE when the field is no number from 0 to 1."""
-    return ~(_kind(doc, name).isin("integer", "number") & number(doc, name).between(0.0, 1.0))
+ALERT_DOCUMENT = (
+    "alert_id string, timestamp string, threat variant, severity string, confidence double, source_ip variant, "
+    "destination_ip variant, source_port bigint, destination_port bigint, protocol string, "
+    "mitre struct<tactic: variant, technique: string, technique_name: variant>, evidence map<string, variant>"
+)
 
 
-def alert_errors(doc: Column) -> Column:
-    """Error codes of one alert document; empty when it meets the contract."""
+def alert_checks() -> Column:
+    """Codes of the value checks of the alert contract."""
 
     def blank(name: str) -> tuple[Column, str]:
-        return ~((_kind(doc, name) == "string") & (F.trim(string(doc, name)) != "")), name
-
-    def port(name: str) -> tuple[Column, str]:
-        return ~((_kind(doc, name) == "integer") & number(doc, name).between(0, 65535)), name
+        return ~(F.trim(plain_text(F.col(f"__doc.{name}"))) != ""), name
 
-    mitre = _kind(doc, "mitre") == "object"
-    technique = string(doc, "mitre.technique")
-    checks = codes(
-        (~((_kind(doc, "alert_id") == "string") & string(doc, "alert_id").rlike(ALERT_ID_PATTERN)), "alert_id"),
-        (~((_kind(doc, "timestamp") == "string") & iso_time(string(doc, "timestamp")).isNotNull()), "timestamp"),
+    mitre = F.col("__doc.mitre").isNotNull()
+    badly_named = F.coalesce(~F.col("__doc.mitre.technique").rlike(TECHNIQUE_PATTERN), F.lit(True))
+    return codes(
+        (~F.col("__doc.alert_id").rlike(ALERT_ID_PATTERN), "alert_id"),
+        (iso_time(F.col("__doc.timestamp")).isNull(), "timestamp"),
         blank("threat"),
-        (~((_kind(doc, "severity") == "string") & string(doc, "severity").isin(*ALERT_SEVERITIES)), "severity"),
-        (_share(doc, "confidence"), "confidence"),
+        (not_one_of("severity", ALERT_SEVERITIES), "severity"),
+        (outside("confidence", 0.0, 1.0), "confidence"),
         blank("source_ip"),
         blank("destination_ip"),
-        port("source_port"),
-        port("destination_port"),
-        (~((_kind(doc, "protocol") == "string") & string(doc, "protocol").isin(*ALERT_PROTOCOLS)), "protocol"),
+        (outside("source_port", 0, 65535), "source_port"),
+        (outside("destination_port", 0, 65535), "destination_port"),
+        (not_one_of("protocol", ALERT_PROTOCOLS), "protocol"),
         (~mitre, "mitre"),
-        *[(mitre & field(doc, f"mitre.{f}").isNull(), f"missing:mitre.{f}") for f in MITRE_FIELDS],
-        (mitre & ~((_kind(doc, "mitre.technique") == "string") & technique.rlike(TECHNIQUE_PATTERN)), "mitre.technique"),
-        (_kind(doc, "evidence") != "object", "evidence"),
+        *[(mitre & F.col(f"__doc.mitre.{f}").isNull(), f"missing:mitre.{f}") for f in MITRE_FIELDS],
+        (mitre & badly_named, "mitre.technique"),
+        (F.col("__doc.evidence").isNull(), "evidence"),
     )
-    return staged_errors(doc, ALERT_FIELDS, checks)
 
 
-def validate_bodies(df: DataFrame, body: str = "body", errors=alert_errors) -> DataFrame:
-    """Add ``errors`` (array of codes) for a column of JSON texts."""
-    doc = df.withColumn("__doc", parsed(F.col(body)))
-    return doc.withColumn("errors", errors(F.col("__doc"))).drop("__doc")
+def validate_bodies(df: DataFrame, body: str = "body") -> DataFrame:
+    """Add ``errors`` (array of codes, empty when the contract is met) for a column of JSON alerts."""
+    return check_documents(df, F.col(body), ALERT_DOCUMENT, ALERT_FIELDS, alert_checks())
 
 
 def to_bodies(alerts: DataFrame) -> DataFrame:

@@ -7,37 +7,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threatlake.contracts import (
     ANALYSIS_FIELDS, ANALYSIS_PRIORITIES, ANALYSIS_RISK_LEVELS, CORRELATION_FIELDS,
 )
-from threatlake.functions.documents import document_text, field, json_type, number, parsed, string
-from threatlake.operators.alerts import codes, staged_errors
-
-
-def _kind(doc: Column, name: str) -> Column:
-    return json_type(field(doc, name))
-
-
-def _no_share(doc: Column, name: str) -> Column:
-    return ~(_kind(doc, name).isin("integer", "number") & number(doc, name).between(0.0, 1.0))
+from threatlake.functions.documents import document_text
+from threatlake.operators.alerts import check_documents, codes, not_one_of, outside
 
+ANALYSIS_DOCUMENT = (
+    "risk_level string, confidence double, why_suspicious array<variant>, recommended_actions array<variant>, "
+    "mitre_context map<string, variant>, investigation_priority string"
+)
+CORRELATION_DOCUMENT = "related boolean, confidence double"
 
-def analysis_errors(doc: Column) -> Column:
-    def outside(name: str, allowed: tuple[str, ...]) -> Column:
-        return ~((_kind(doc, name) == "string") & string(doc, name).isin(*allowed))
 
-    return staged_errors(doc, ANALYSIS_FIELDS, codes(
-        (outside("risk_level", ANALYSIS_RISK_LEVELS), "risk_level"),
-        (_no_share(doc, "confidence"), "confidence"),
-        (_kind(doc, "why_suspicious") != "array", "why_suspicious"),
-        (_kind(doc, "recommended_actions") != "array", "recommended_actions"),
-        (_kind(doc, "mitre_context") != "object", "mitre_context"),
-        (outside("investigation_priority", ANALYSIS_PRIORITIES), "investigation_priority"),
-    ))
+def analysis_checks() -> Column:
+    return codes(
+        (not_one_of("risk_level", ANALYSIS_RISK_LEVELS), "risk_level"),
+        (outside("confidence", 0.0, 1.0), "confidence"),
+        *[(F.col(f"__doc.{f}").isNull(), f) for f in ("why_suspicious", "recommended_actions", "mitre_context")],
+        (not_one_of("investigation_priority", ANALYSIS_PRIORITIES), "investigation_priority"),
+    )
 
 
-def correlation_errors(doc: Column) -> Column:
-    return staged_errors(doc, CORRELATION_FIELDS, codes(
-        (_kind(doc, "related") != "boolean", "related"),
-        (_no_share(doc, "confidence"), "confidence"),
-    ))
+def correlation_checks() -> Column:
+    return codes((F.col("__doc.related").isNull(), "related"), (outside("confidence", 0.0, 1.0), "confidence"))
 
 
 def extract_documents(answers: DataFrame, text: str = "text") -> DataFrame:
@@ -45,14 +35,11 @@ def extract_documents(answers: DataFrame, text: str = "text") -> DataFrame:
     return answers.withColumn("document", document_text(F.col(text)))
 
 
-def _checked(answers: DataFrame, text: str, errors) -> DataFrame:
-    found = extract_documents(answers, text).withColumn("__doc", parsed(F.col("document")))
-    return found.withColumn("errors", errors(F.col("__doc"))).drop("__doc")
-
-
 def validate_analyses(answers: DataFrame, text: str = "text") -> DataFrame:
-    return _checked(answers, text, analysis_errors)
+    found = extract_documents(answers, text)
+    return check_documents(found, F.col("document"), ANALYSIS_DOCUMENT, ANALYSIS_FIELDS, analysis_checks())
 
 
 def validate_correlations(answers: DataFrame, text: str = "text") -> DataFrame:
-    return _checked(answers, text, correlation_errors)
+    found = extract_documents(answers, text)
+    return check_documents(found, F.col("document"), CORRELATION_DOCUMENT, CORRELATION_FIELDS, correlation_checks())

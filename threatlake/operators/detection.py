@@ -28,6 +28,11 @@ def measure(df: DataFrame, name: str) -> Column:
     return F.coalesce(*found, F.lit(0.0))
 
 
+def _dst_port(df: DataFrame) -> Column:
+    integral = isinstance(df.schema["dst_port"].dataType, T.IntegralType)
+    return F.col("dst_port") if integral else port_number(F.col("dst_port"))
+
+
 def endpoints(df: DataFrame, slots: dict[str, list[str]]) -> DataFrame:
     """Fill each endpoint column from the first usable candidate; ports keep digits only.
 
@@ -128,7 +133,7 @@ def c2_scores(flows: DataFrame) -> DataFrame:
     m = {n: measure(flows, n) for n in ("total_fwd_packets", "fwd_pkt_len_mean", "flow_iat_mean", "flow_duration")}
     repeated = F.col("repeated") if "repeated" in flows.columns else F.lit(False)
     return flows.withColumns(_flat("c2", scoring.c2(
-        port_number(F.col("dst_port")), m["total_fwd_packets"], m["fwd_pkt_len_mean"], m["flow_iat_mean"],
+        _dst_port(flows), m["total_fwd_packets"], m["fwd_pkt_len_mean"], m["flow_iat_mean"],
         m["flow_duration"], repeated,
     )))
 
@@ -136,7 +141,7 @@ def c2_scores(flows: DataFrame) -> DataFrame:
 def exfil_scores(flows: DataFrame) -> DataFrame:
     """Add ``exfil_*``."""
     return flows.withColumns(_flat("exfil", scoring.exfiltration(
-        port_number(F.col("dst_port")), measure(flows, "total_fwd_bytes"), measure(flows, "total_bwd_bytes"),
+        _dst_port(flows), measure(flows, "total_fwd_bytes"), measure(flows, "total_bwd_bytes"),
         measure(flows, "fwd_pkt_len_max"),
     )))
 

@@ -79,6 +79,43 @@ def validate_flows(df: DataFrame, features: Iterable[str] | None = None, extras:
     return df.withColumn("report", report).withColumn("is_valid", faulty == 0)
 
 
+def validate_flow_documents(
+    df: DataFrame, body: str, features: Iterable[str] | None = None, extras: Iterable[str] = FLOW_EXTRAS
+) -> DataFrame:
+    """The same report for flows arriving as JSON objects, where each row has its own fields.
+
+    ``features`` are contract spellings; names in the document are trimmed first.
+    """
+    features = list(features if features is not None else flow_contract().names)
+    fields = F.transform_keys(F.from_json(F.col(body), "map<string, string>"), lambda k, _: F.trim(k))
+    wanted = F.array(*[F.lit(f) for f in features])
+    known = F.array(*[F.lit(f) for f in (*features, *extras)])
+    out = df.withColumn("__fields", fields)
+    value = lambda f: F.try_element_at(F.col("__fields"), f)
+    number = lambda f: value(f).try_cast("double")
+    present = F.array_intersect(wanted, F.map_keys("__fields"))
+    out = out.withColumn("__present", present)
+
+    def named(test) -> Column:
+        return F.filter("__present", lambda f: F.coalesce(test(f), F.lit(False)))
+
+    report = F.struct(
+        F.array_except(wanted, F.col("__present")).alias("missing_features"),
+        named(lambda f: value(f).isNotNull() & number(f).isNull()).alias("invalid_type_features"),
+        named(lambda f: value(f).isNull() | F.isnan(number(f))).alias("nan_features"),
+        named(lambda f: F.abs(number(f)) == float("inf")).alias("inf_features"),
+        F.array_except(F.map_keys("__fields"), known).alias("extra_features"),
+        F.lit(len(features)).alias("expected_feature_count"),
+        F.size("__fields").alias("provided_feature_count"),
+    )
+    out = out.withColumn("report", F.when(F.col("__fields").isNotNull(), report))
+    faulty = None
+    for part in ("missing_features", "invalid_type_features", "nan_features", "inf_features"):
+        n = F.size(f"report.{part}")
+        faulty = n if faulty is None else faulty + n
+    return out.withColumn("is_valid", F.coalesce(faulty == 0, F.lit(False))).drop("__fields", "__present")
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows without the report, quarantined rows with it)."""
     good = checked.where("is_valid").drop("report", "is_valid")

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from threatlake.contracts import ALERT_SCHEMA
 from threatlake.operators.alerts import validate_bodies
+from threatlake.session import materialise
 
 
 def accept(bodies: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(accepted alerts as columns with arrival_seq, rejected bodies with their error codes)."""
-    checked = validate_bodies(bodies, body)
-    good = checked.where(F.size("errors") == 0).select(
-        F.from_json(body, ALERT_SCHEMA).alias("a"), F.col("arrival_seq").alias("seq")
-    )
+    """(accepted alerts as columns with arrival_seq, rejected bodies with their error codes).
+
+    The checked documents are written once, so each is parsed once however often the parts are read.
+    """
     fields = [f for f in ALERT_SCHEMA.fieldNames() if f != "arrival_seq"]
-    accepted = good.select(*[F.col(f"a.{f}") for f in fields], F.col("seq").alias("arrival_seq"))
-    return accepted, checked.where(F.size("errors") > 0)
+    checked = validate_bodies(bodies, body).withColumn("alert", F.from_json(body, ALERT_SCHEMA))
+    stored = materialise(checked.select("arrival_seq", body, "errors", "alert"), "checked")
+    good = stored.where(F.size("errors") == 0)
+    accepted = good.select(*[F.col(f"alert.{f}") for f in fields], "arrival_seq")
+    return accepted, stored.where(F.size("errors") > 0).drop("alert")
