@@ -11,11 +11,9 @@ from threatlake.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "threatlake-tests", "local[4]",
+        "threatlake-tests", "local[8]",
         spark__sql__shuffle__partitions="4",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
-        spark__sql__streaming__stateStore__providerClass=
-        "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -10,13 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def object_keys(text: Column) -> Column:
+    """Names in a JSON object, NULL when ``text`` is not exactly one JSON object.
+
+    The parsers stop after the first value, so the text is read as the only element of an array,
+    where anything behind the object breaks the syntax or makes a second element.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = text.rlike(r"\}\s*$") & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(listed.isNotNull() & alone, F.json_object_keys(text))
+
+
 def unpack(df: DataFrame, text: Column, schema: str) -> DataFrame:
-    """Add ``__keys`` (names in the object, NULL when ``text`` is no JSON object) and ``__doc``."""
-    valid = F.try_parse_json(text).isNotNull()
-    return df.withColumns({
-        "__keys": F.when(valid, F.json_object_keys(text)),
-        "__doc": F.from_json(text, schema),
-    })
+    """Add ``__keys`` (see ``object_keys``) and ``__doc``."""
+    return df.withColumns({"__keys": object_keys(text), "__doc": F.from_json(text, schema)})
 
 
 def plain_text(value: Column) -> Column:
@@ -28,8 +35,8 @@ def document_text(answer: Column) -> Column:
     """JSON object inside an answer text: the whole text, else the last fenced block that parses."""
 
     def is_object(text: Column) -> Column:
-        return F.try_parse_json(text).isNotNull() & F.json_object_keys(text).isNotNull()
+        return object_keys(text).isNotNull()
 
     fenced = F.regexp_extract_all(answer, F.lit("(?i)```(?:json)?\\s*([\\s\\S]*?)\\s*```"), F.lit(1))
-    whole = F.trim(answer)
+    whole = F.regexp_replace(answer, r"^\s+|\s+$", "")
     return F.when(is_object(whole), whole).otherwise(F.try_element_at(F.filter(fenced, is_object), F.lit(-1)))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from threatlake.contracts import ALERT_SCHEMA
+from threatlake.functions.documents import object_keys
 from threatlake.operators.alerts import new_alerts
+from threatlake.session import materialise
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType = ALERT_SCHEMA, multi_line: bool = False) -> DataFrame:
-    """Alert documents (JSON lines, or ``multi_line`` arrays); records that are no objects are skipped."""
+def read_json(spark: SparkSession, path: str, schema: T.StructType = ALERT_SCHEMA) -> DataFrame:
+    """Alert documents, one JSON object per line; broken lines and other values are skipped."""
     probe = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     df = (
-        spark.read.schema(probe).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        .option("multiLine", multi_line).json(path)
+        spark.read.schema(probe).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     )
     kept = None
     for f in schema.fields:
@@ -22,11 +23,25 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = ALERT_SCHEM
     return df.where(F.col("_corrupt").isNull() & kept).drop("_corrupt")
 
 
+def read_json_list(spark: SparkSession, path: str, schema: T.StructType = ALERT_SCHEMA) -> DataFrame:
+    """Alert files that each hold one JSON array; elements that are no objects are skipped.
+
+    A file that is no array gives no rows. The place in the array fills a missing ``arrival_seq``.
+    """
+    texts = spark.read.text(path, wholetext=True)
+    items = texts.select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "item"))
+    parsed = items.where(object_keys(F.col("item")).isNotNull()).select("place", F.from_json("item", schema).alias("a"))
+    columns = {f: F.col(f"a.{f}") for f in schema.fieldNames()}
+    if "arrival_seq" in columns:
+        columns["arrival_seq"] = F.coalesce(columns["arrival_seq"], F.col("place").cast("long"))
+    return parsed.select(*[c.alias(f) for f, c in columns.items()])
+
+
 def append_table(incoming: DataFrame, path: str) -> DataFrame:
     """Add incoming alerts whose id is new; returns what was added."""
     spark = incoming.sparkSession
     stored = spark.read.parquet(path)
-    fresh = new_alerts(stored, incoming).select(*stored.columns)
+    fresh = materialise(new_alerts(stored, incoming).select(*stored.columns), "fresh")
     fresh.write.mode("append").parquet(path)
     return fresh
 
