@@ -146,10 +146,10 @@ def test_chain_running_and_incident(spark, intel, mixed):
         assert row["primary_class"] == rows[0][6] and row["target_entity"] == rows[0][4]
         assert row["incident_id"] == "inc-" + key.replace(".", "-")
         assert [lines[key][i + 1] for i in range(len(rows))] == [(r[0], row["risk_score"]) for r in ordered]
-    empty = inc.chain_with_techniques(done.scored, attach=False)
+    empty = inc.chain_with_techniques(done.events, intel, attach=False)
     assert empty.where("technique_id IS NOT NULL").isEmpty()
     one = inc.lookup_incident(done.incidents, "inc-10-0-0-5").collect()
-    assert len(one) == 1 and inc.explain(done.scored).count() == len(by) and inc.explain_events(done.scored).count() == len(mixed)
+    assert len(one) == 1 and inc.explain(done.scored).count() == len(by) and inc.explain_events(done.events).count() == len(mixed)
 
 
 def test_time_links(spark, mixed):

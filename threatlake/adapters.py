@@ -114,6 +114,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan yields fewer partitions (a test table is one row group).
+
+    For stages heavy on computation; a table of many files passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, inputs = _INPUTS[name]
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in inputs})

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from threatlake.adapters import sql_text
 from threatlake.catalog.queries import ADDRESSES, ENDPOINT_VARIANTS
-from threatlake.contracts import ALERT_FIELDS  # noqa: F401  (documents the order of error codes)
+from threatlake.contracts import ANALYSIS_FIELDS, CORRELATION_FIELDS
+from threatlake.operators.alerts import ASK_MANY, ASK_ONE
 
 EVENTS, FLOWS, DIRTY = sql_text("threat_events"), sql_text("flows"), sql_text("flows_dirty")
 DESK, DOMAINS, INTEL, PREDICTED = (sql_text(n) for n in ("desk_alerts", "domains", "intel", "predicted_flows"))
@@ -203,6 +204,11 @@ w AS (SELECT *, lag(event_id) OVER o AS previous_id, lag(ts) OVER o AS p_ts, lag
 g AS (SELECT *, epoch_us(ts) - epoch_us(p_ts) AS gap_micros FROM w WHERE previous_id IS NOT NULL)"""
 
 
+def _alert_line(proof: str) -> str:
+    return f"""concat(alert_id, ': ', threat, ' | ', source_ip, ':', source_port, ' -> ', destination_ip, ':', destination_port, ' | ', protocol, ' | ',
+  severity, ' | ', confidence, ' | ', technique, ' | ', {proof})"""
+
+
 ANSWER_FAULTS = """concat_ws(',', CASE WHEN severity = 'EXTREME' THEN 'risk_level' END, CASE WHEN confidence > 1 THEN 'confidence' END,
   CASE WHEN severity = 'EXTREME' THEN 'investigation_priority' END)"""
 
@@ -342,4 +348,20 @@ fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDE
 SELECT alert_id, arrival_seq, severity FROM st UNION ALL SELECT alert_id, arrival_seq, severity FROM fresh""",
     "stream_incidents": f"WITH {RUNNING} SELECT incident_id, event_count, risk_score, risk_level, created_at, updated_at FROM inc",
     "window_counts": f"""SELECT src_ip, time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(*) AS event_count FROM ({EVENTS}) e GROUP BY 1, 2""",
+    "split_tables": f"""WITH f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY flow_id) - 1 AS p, count(*) OVER (PARTITION BY label) AS c FROM ({FLOWS}) x)
+SELECT label, CASE WHEN p * 1.0::DOUBLE / c < 0.7::DOUBLE THEN 'train' WHEN p * 1.0::DOUBLE / c < 0.85::DOUBLE THEN 'validation' ELSE 'test' END AS split,
+  count(*) AS n FROM f GROUP BY 1, 2""",
+    "prompt_dataset": f"""SELECT arrival_seq, alert_id, concat('{ASK_ONE + ", ".join(ANALYSIS_FIELDS)}', chr(10),
+  {_alert_line("concat('{{', chr(34), 'packets', chr(34), ':', source_port, '}}')")}) AS prompt FROM ({DESK}) a""".replace("{{", "{").replace("}}", "}"),
+    "correlation_prompts": f"""WITH a AS ({DESK}) SELECT DISTINCT source_ip AS request_id, -1::BIGINT AS arrival_seq, 0 AS part,
+  '{ASK_MANY + ", ".join(CORRELATION_FIELDS)}' AS line FROM a
+  UNION ALL SELECT source_ip, arrival_seq, 1, {_alert_line("'{}'")} FROM a""",
+    "explain_incidents": f"""WITH {RUNNING} SELECT incident_id, event_count, split_part(title, ' from ', 1) AS primary_class,
+  concat(event_count, ' event(s) from ', source_entity, ', first seen as ', split_part(title, ' from ', 1), '; risk ', risk_score, ' (', risk_level, '); ', ioc_count,
+  ' indicator(s), reputation ', reputation, '; technique ', technique_id) AS summary FROM inc""",
+    "explain_events": f"""WITH {DECIDED} SELECT concat('inc-', replace(src_ip, '.', '-')) AS incident_id, row_number() OVER (PARTITION BY src_ip ORDER BY arrival_seq) AS line, event_id,
+  concat(threat_class, ' (', decision, ') at ', ts, ', confidence ', confidence, ', anomaly ', anomaly_score) AS evidence FROM s""",
+    "stream_windows": f"""WITH e AS ({EVENTS}), w AS (SELECT src_ip, time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(*) AS event_count FROM e GROUP BY 1, 2)
+SELECT src_ip, window_start, window_start + INTERVAL '5 minutes' AS window_end, event_count FROM w
+WHERE window_start + INTERVAL '5 minutes' <= (SELECT max(ts) FROM e) - INTERVAL '10 minutes'""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatlake.adapters import load, table
+from threatlake.adapters import load, spread, table
 from threatlake.contracts import ANALYSIS_FIELDS, CORE_FEATURES, CORRELATION_FIELDS
 from threatlake.functions import flow as flow_fn, network, scoring, text
 from threatlake.operators import (
@@ -83,7 +83,7 @@ def alert_append(spark, sf):
 def split_tables(spark, sf):
     """Stratified split written by partition; each part read back through the guarded reader."""
     path = scratch_path(spark, "splits")
-    rows = quality.stratified_split(load(spark, sf, "flows"), "label", "flow_id", {"train": 0.7, "validation": 0.15, "test": 0.15})
+    rows = quality.stratified_split(load(spark, sf, "flows"), "label", "flow_id", {"train": 0.7, "validation": 0.15, "test": 0.15}, exact=True)
     flow_source.write_splits(rows.select("flow_id", "label", "split"), path)
     parts = None
     for name in ("train", "validation", "test"):
@@ -167,8 +167,8 @@ def validate_flows(spark, sf):
 
 @query
 def validate_alerts(spark, sf):
-    rows = desk.validate_bodies(desk.to_bodies(load(spark, sf, "desk_alerts")))
-    return rows.select("arrival_seq", _joined("errors"), F.size("errors").alias("n_errors"))
+    rows = desk.validate_bodies(desk.to_bodies(spread(load(spark, sf, "desk_alerts"))))
+    return rows.select("arrival_seq", _joined("errors"), F.size("errors").cast("long").alias("n_errors"))
 
 
 def _analysis_texts(spark, sf) -> DataFrame:
@@ -245,12 +245,13 @@ def prompt_dataset(spark, sf):
 @query
 def correlation_prompts(spark, sf):
     rows = load(spark, sf, "desk_alerts").withColumn("request_id", F.col("source_ip"))
-    return desk.correlation_prompt_lines(rows, CORRELATION_FIELDS)
+    return desk.correlation_prompt_lines(rows, CORRELATION_FIELDS).withColumn(
+        "arrival_seq", F.coalesce("arrival_seq", F.lit(-1).cast("long")))
 
 
 @query
 def incident_timeline(spark, sf):
-    return inc.timeline(_scored(spark, sf)).select(
+    return inc.timeline(_events(spark, sf), load(spark, sf, "intel")).select(
         "incident_id", "position", "event_id", "ts", "threat_class", "decision", "severity", "risk_score", "evidence"
     )
 
@@ -266,13 +267,14 @@ def incident_techniques(spark, sf):
 
 @query
 def extract_iocs(spark, sf):
-    return enrichment.extract_iocs(_events(spark, sf)).drop("last_seen")
+    rows = enrichment.extract_iocs(_events(spark, sf)).drop("last_seen")
+    return rows.withColumn("slot", F.col("slot").cast("long"))
 
 
 @query
 def ioc_enrich(spark, sf):
     rows = enrichment.enrich_iocs(enrichment.extract_iocs(_events(spark, sf)), load(spark, sf, "intel"))
-    return rows.select("source_event_id", "slot", "ioc_type", "value", "intel_status", "reputation", "intel_confidence")
+    return rows.select("source_event_id", F.col("slot").cast("long").alias("slot"), "ioc_type", "value", "intel_status", "reputation", "intel_confidence")
 
 
 @query
@@ -286,7 +288,7 @@ def ioc_lookup(spark, sf):
 @query
 def event_reputation(spark, sf):
     rows = enrichment.with_reputation(_events(spark, sf), load(spark, sf, "intel"))
-    return rows.select("event_id", "reputation", "intel_confidence", "ioc_count")
+    return rows.select("event_id", "reputation", "intel_confidence", F.col("ioc_count").cast("long").alias("ioc_count"))
 
 
 @query
@@ -298,7 +300,7 @@ def mitre_map(spark, sf):
 
 @query
 def chain_with_mitre(spark, sf):
-    return inc.chain_with_techniques(_scored(spark, sf)).select(
+    return inc.chain_with_techniques(_events(spark, sf), load(spark, sf, "intel")).select(
         "entity_key", "stage_id", "event_id", F.coalesce("technique_id", F.lit("none")).alias("technique_id"),
         F.coalesce("technique_name", F.lit("none")).alias("technique_name"))
 
@@ -412,20 +414,23 @@ def incidents(spark, sf):
     rows = inc.incidents(_scored(spark, sf))
     return rows.select(
         "incident_id", "title", "created_at", "updated_at", "status", "risk_score", "risk_level", "source_entity",
-        "target_entity", "event_count", F.coalesce("technique_id", F.lit("none")).alias("technique_id"), "reputation", "ioc_count")
+        "target_entity", "event_count", F.coalesce("technique_id", F.lit("none")).alias("technique_id"), "reputation",
+        F.col("ioc_count").cast("long").alias("ioc_count"))
 
 
 # --- windows ---------------------------------------------------------------------------------------
 
 @query
 def attack_chain(spark, sf):
-    return correlate.attack_chain(_decided(spark, sf)).select(
-        "entity_key", "stage_id", "stage_status", "event_id", "ts", "threat_class", "decision", "severity", "confidence")
+    chain = detection.raise_alerts(detection.decide(correlate.attack_chain(_events(spark, sf))))
+    return chain.select(
+        "entity_key", "stage_id", "stage_status", "event_id", "ts", "threat_class", "decision", "severity",
+        F.col("stage_confidence").alias("confidence"))
 
 
 @query
 def running_risk(spark, sf):
-    return inc.running_risk(_scored(spark, sf)).select("event_id", "entity_key", "events_so_far", "risk_score", "risk_level")
+    return inc.running_risk(_events(spark, sf), load(spark, sf, "intel")).select("event_id", "entity_key", "events_so_far", "risk_score", "risk_level")
 
 
 @query
@@ -497,7 +502,7 @@ def entropy(spark, sf):
 @query
 def ngram_stats(spark, sf):
     names = load(spark, sf, "domains").select("domain").distinct()
-    return names.select("domain", *[c.alias(n) for n, c in text.ngram_stats(F.col("domain")).items()])
+    return names.select("domain", *[c.cast("long").alias(n) for n, c in text.ngram_stats(F.col("domain")).items()])
 
 
 @query
@@ -505,7 +510,7 @@ def domain_features(spark, sf):
     names = load(spark, sf, "domains").select("domain").distinct()
     stats = text.domain_features(F.col("domain"))
     exact = ("domain_length", "main_label_length", "num_digits")
-    return names.select("domain", *[c.alias(n) if n in exact else F.round(c, 6).alias(n) for n, c in stats.items()])
+    return names.select("domain", *[c.cast("long").alias(n) if n in exact else F.round(c, 6).alias(n) for n, c in stats.items()])
 
 
 @query
@@ -554,7 +559,7 @@ def explain_incidents(spark, sf):
 
 @query
 def explain_events(spark, sf):
-    return inc.explain_events(_scored(spark, sf))
+    return inc.explain_events(_events(spark, sf))
 
 
 # --- streams ---------------------------------------------------------------------------------------
@@ -630,26 +635,26 @@ def _confusion(rows: DataFrame, prefix: str) -> DataFrame:
 
 @query
 def train_m3(spark, sf):
-    rows = _labelled(spark, sf)
+    rows = spread(_labelled(spark, sf))
     return _confusion(models.apply_forest(rows, models.train_m3(rows, FEATURES, settings=CHECK_FOREST), FEATURES, "m3"), "m3")
 
 
 @query
 def train_m4(spark, sf):
-    rows = _labelled(spark, sf)
+    rows = spread(_labelled(spark, sf))
     return _confusion(models.apply_forest(rows, models.train_m4(rows, FEATURES, settings=CHECK_FOREST), FEATURES, "m4"), "m4")
 
 
 @query
 def isolation_forest(spark, sf):
-    rows = load(spark, sf, "flows")
+    rows = spread(load(spark, sf, "flows"))
     model = isolation.fit(rows, FEATURES, "flow_id")
     return model.score(rows.select("flow_id", *FEATURES)).select("flow_id", F.round("anomaly_score", 4).alias("anomaly_score"))
 
 
 @query
 def predict_batch(spark, sf):
-    rows = _labelled(spark, sf)
+    rows = spread(_labelled(spark, sf))
     m3 = models.train_m3(rows, FEATURES, settings=CHECK_FOREST)
     m4 = models.train_m4(rows, FEATURES, settings=CHECK_FOREST)
     model = isolation.fit(rows, FEATURES, "flow_id")

@@ -57,8 +57,8 @@ def _verdict(score: Column, likely: str, suspect: str, normal: str) -> Column:
 
 
 def _evidence(*terms: tuple[Column, str], none: str) -> Column:
-    found = F.array_compact(F.array(*[F.when(hit, F.lit(code)) for hit, code in terms]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(none)))
+    codes = F.concat_ws(",", *[F.when(hit, F.lit(code)) for hit, code in terms])
+    return F.split(F.when(codes == "", F.lit(none)).otherwise(codes), ",")
 
 
 def decision(threat_class: Column, confidence: Column, anomaly: Column, t: Thresholds = DEFAULTS) -> Column:

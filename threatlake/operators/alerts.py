@@ -8,13 +8,14 @@ from threatlake.contracts import (
     ALERT_FIELDS, ALERT_ID_PATTERN, ALERT_PROTOCOLS, ALERT_SEVERITIES, MITRE_FIELDS, TECHNIQUE_PATTERN,
 )
 from threatlake.functions.documents import plain_text, unpack
+from threatlake.functions.lists import listed
 from threatlake.functions.network import iso_time
 from threatlake.session import materialise
 
 
 def codes(*checks: tuple[Column, str]) -> Column:
     """Codes of the checks that hold (or cannot be decided), in order."""
-    return F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(True)), F.lit(code)) for hit, code in checks]))
+    return listed(*[(F.coalesce(hit, F.lit(True)), code) for hit, code in checks])
 
 
 def outside(name: str, low: float, high: float) -> Column:

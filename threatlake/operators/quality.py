@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from threatlake.contracts import (
     FLOW_EXTRAS, LABEL_TAXONOMY, ROLE_FEATURE, ROLE_METADATA, ROLE_TARGET, flow_contract, snake,
 )
+from threatlake.functions.lists import listed
 from threatlake.operators.ranking import percentiles, ranked
 
 
@@ -58,8 +59,7 @@ def validate_flows(df: DataFrame, features: Iterable[str] | None = None, extras:
     faults = {f: _fault(f, df.schema[f].dataType) for f in present}
 
     def named(kind: str) -> Column:
-        hits = [F.when(faults[f] == kind, F.lit(f)) for f in present]
-        return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+        return listed(*[(F.col(f"__fault_{i}") == kind, f) for i, f in enumerate(present)])
 
     def constant(names: list[str]) -> Column:
         return F.array(*[F.lit(n) for n in names]).cast("array<string>")
@@ -76,7 +76,10 @@ def validate_flows(df: DataFrame, features: Iterable[str] | None = None, extras:
     faulty = F.size("report.missing_features")
     for part in ("invalid_type_features", "nan_features", "inf_features"):
         faulty = faulty + F.size(f"report.{part}")
-    return df.withColumn("report", report).withColumn("is_valid", faulty == 0)
+    checked = df.withColumns({f"__fault_{i}": faults[f] for i, f in enumerate(present)})
+    return checked.withColumn("report", report).withColumn("is_valid", faulty == 0).drop(
+        *[f"__fault_{i}" for i in range(len(present))]
+    )
 
 
 def validate_flow_documents(
