@@ -23,6 +23,7 @@ def detect(predicted: DataFrame, features: list[str], t: Thresholds = DEFAULTS)
     verdict = ("threat_class", "confidence", "anomaly_score", "decision", "severity", "title")
     return out.withColumns({
         **{c: F.when(F.col("is_valid"), F.col(c)) for c in verdict},
+        "report": F.when(~F.col("is_valid"), F.col("report")),
         "status": F.when(F.col("is_valid"), "success").otherwise("error"),
         "error_type": F.when(~F.col("is_valid"), "FEATURE_SCHEMA_MISMATCH"),
     })
