@@ -152,6 +152,12 @@ def test_chain_running_and_incident(spark, intel, mixed):
     assert len(one) == 1 and inc.explain(done.scored).count() == len(by) and inc.explain_events(done.events).count() == len(mixed)
 
 
+def test_unreadable_times_come_first(spark):
+    rows = [event(1, 50, "10.0.0.1"), event(2, 10, "10.0.0.1"), (*event(3, 0, "10.0.0.1")[:2], None, *event(3, 0, "10.0.0.1")[3:])]
+    chain = correlate.attack_chain(events(spark, rows)).orderBy("stage_id").collect()
+    assert [r["event_id"] for r in chain] == ["e3", "e2", "e1"]
+
+
 def test_time_links(spark, mixed):
     df = events(spark, mixed)
     by, near = {}, {}

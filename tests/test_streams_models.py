@@ -1,5 +1,7 @@
 """Streams equal their batch forms; models train, predict, save and load."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ def rows(df):
 def test_detect_stream_equals_batch(spark, sf, tmp_path):
     features = ["m3_confidence", "m4_confidence", "m4_anomaly"]
     stream = q._stream(spark, sf, "lineitem", "predicted_flows")
+    counters = jobs.QualityCounters()
+    spark.streams.addListener(counters)
     query = jobs.detect_stream(stream, features, str(tmp_path / "out"), str(tmp_path / "mark"), available_now=True)
     query.awaitTermination()
     cols = ["flow_id", "status", "threat_class", "decision", "severity", "error_type"]
@@ -28,6 +32,11 @@ def test_detect_stream_equals_batch(spark, sf, tmp_path):
     seen = [p["observedMetrics"]["quality"] for p in query.recentProgress if p["observedMetrics"]]
     assert sum(s["processed"] for s in seen) == got.where("status = 'success'").count()
     assert sum(s["failed"] for s in seen) == got.where("status = 'error'").count() > 0
+    deadline = time.time() + 20  # listeners run behind the query
+    while sum(counters.totals[k] for k in ("processed", "failed")) < got.count() and time.time() < deadline:
+        time.sleep(0.2)
+    spark.streams.removeListener(counters)
+    assert counters.totals["failed"] == got.where("status = 'error'").count()
 
 
 def test_incident_stream_equals_batch_over_many_batches(spark, sf, tmp_path):

@@ -168,7 +168,7 @@ def resolve_ids(requests: DataFrame, alerts: DataFrame) -> DataFrame:
     Requests naming fewer than two ids are marked ``too_few``.
     """
     counts = materialise(requests.groupBy("request_id").agg(F.count("*").alias("n_ids")), "requests")
-    stored = first_by_id(alerts).select("alert_id", "arrival_seq", "threat", "severity")
+    stored = materialise(first_by_id(alerts).select("alert_id", "arrival_seq", "threat", "severity"), "stored")
     joined = requests.join(stored, "alert_id", "left").join(counts, "request_id")
     found = F.col("arrival_seq").isNotNull()
     return joined.withColumn("found", found).withColumn("too_few", F.col("n_ids") < 2).drop("n_ids")

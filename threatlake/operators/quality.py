@@ -11,6 +11,7 @@ from threatlake.contracts import (
 )
 from threatlake.functions.lists import listed
 from threatlake.operators.ranking import percentiles, ranked
+from threatlake.session import materialise
 
 
 def clean_headers(df: DataFrame, to_snake: bool = True) -> DataFrame:
@@ -248,7 +249,7 @@ def stratified_split(
     shuffled = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
     if exact:
         placed = ranked(shuffled, [label], ["__h", key], "__p")
-        totals = df.groupBy(label).agg(F.count("*").alias("__n"))
+        totals = materialise(df.groupBy(label).agg(F.count("*").alias("__n")), "totals")
         shuffled = placed.join(totals, label)
         share = (F.col("__p") - 1) / F.col("__n")
     else:

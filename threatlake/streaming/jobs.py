@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from threatlake.functions.scoring import DEFAULTS, Thresholds
 from threatlake.operators.alerts import new_alerts, validate_bodies
@@ -14,6 +15,32 @@ from threatlake.plans.desk import accept
 from threatlake.plans.detect import detect
 
 
+class QualityCounters(StreamingQueryListener):
+    """Running totals of the counters a detection stream observes.
+
+    ``spark.streams.addListener(counters)``; a restarted stream goes on from its checkpoint, so the
+    totals cover the batches since this listener was added.
+    """
+
+    def __init__(self) -> None:
+        self.totals = {"processed": 0, "failed": 0, "alerts": 0}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get("quality")
+        if seen is not None:
+            for name, value in seen.asDict().items():
+                self.totals[name] += value
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def _start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
