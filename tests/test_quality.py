@@ -144,7 +144,18 @@ def test_percentiles_with_hot_group_and_hot_value(spark):
             assert got[(g, p)][0] == pytest.approx(np.percentile(values, p * 100)) and got[(g, p)][1] == len(values)
 
 
-def test_ranked_matches_counting(spark):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_ranked_matches_counting(spark, threshold):
+    """With slice totals broadcast, and merged when they are too large for that."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        check_ranked(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def check_ranked(spark):
     rng = np.random.default_rng(2)
     data = [("hot" if i % 3 == 0 else f"k{rng.integers(40)}", int(rng.integers(10)), i) for i in range(4000)]
     df = spark.createDataFrame(data, "k string, a int, s long").repartition(5)
