@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,26 +32,88 @@ def build_session(app: str = "threatlake", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; local sessions may fall back to a temp folder."""
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if named:
-        return named
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="threatlake-"))
-    return context.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/threatlake/{purpose}-{uuid.uuid4().hex}"
 
 
+_DATABASES: dict[str, str] = {}
+
+
+def _database(spark: SparkSession) -> str:
+    """Database of this application's scratch tables; its folder lies in the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _DATABASES:
+        name = f"scratch_{re.sub('[^a-z0-9]+', '_', app.lower())}_{uuid.uuid4().hex[:8]}"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{shared_dir(spark).rstrip('/')}/threatlake/{name}'")
+        _DATABASES[app] = name
+        atexit.register(_release_quietly, spark)
+    return _DATABASES[app]
+
+
+class Scratch:
+    """Written tables that cut lineage, as a context that deletes what it made.
+
+    ``table`` writes a frame and reads it back; those tables go when the block ends. ``keep`` does
+    the same for what a returned, not yet computed result reads: it stays until ``release``.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self._made: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        for name in self._made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._made.clear()
+
+    def table(self, df: DataFrame, purpose: str) -> DataFrame:
+        name = _written(df, purpose)
+        self._made.append(name)
+        return self.spark.table(name)
+
+    def drop(self, purpose: str) -> None:
+        """Drop the tables of one purpose before the block ends."""
+        mark = f".{purpose}_"
+        for name in [n for n in self._made if mark in n]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._made.remove(name)
+
+    def keep(self, df: DataFrame, purpose: str) -> DataFrame:
+        return materialise(df, purpose)
+
+
+def _written(df: DataFrame, purpose: str) -> str:
+    spark = df.sparkSession
+    name = f"{_database(spark)}.{re.sub('[^a-z0-9]+', '_', purpose.lower())}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").saveAsTable(name)
+    return name
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    One computation, readable by every executor, and later reads prune columns.
+    One computation, readable by every executor, and later reads prune columns. The table stays
+    until ``release`` or the end of the program; use ``Scratch`` where it can go earlier.
     """
-    path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.table(_written(df, purpose))
+
+
+def release(spark: SparkSession) -> None:
+    """Drop every scratch table of this application. Results not yet written can't be read after it."""
+    name = _DATABASES.pop(spark.sparkContext.applicationId, None)
+    if name:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # at exit the session may be gone
+        release(spark)
