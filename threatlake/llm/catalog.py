@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatlake.llm import lines, packing, rules, simhash, tokens
+from threatlake.llm import decontamination, discriminant, hilbert, language, licenses, lines, packing, rules, simhash, tokens
 from threatlake.llm.common import read
 
 
@@ -21,12 +21,41 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = discriminant.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.summary(licenses.scan(read(spark, sf_dir, "documents")))
+    return found.drop("matches").withColumnRenamed("id", "doc_id")
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hilbert.shard_documents(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judge(read(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select(F.col("id").alias("doc_id"), *[f"stats.{c}" for c in counts], "base_failed", "kept", "posterior")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", F.col("__exact").alias("n_exact"), F.col("__near").alias("n_near"))
@@ -37,7 +66,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op7_quality_rules, op9_line_dedup, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_best_fit_packing, op3_decontamination, op4_quality_classifier, op5_license_scan,
+        op6_hilbert_shards, op7_quality_rules, op8_language_id, op9_line_dedup, op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {}
