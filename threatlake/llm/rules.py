@@ -36,6 +36,9 @@ RULES = {
 #: have once in a thousand at most; without that bound two-class EM takes the most correlated rules
 #: for the truth and explains a defect that comes alone as noise.
 GOOD_BOUNDS, BAD_BOUNDS = (0.999, 0.99999), (0.01, 0.99)
+#: Share of good documents expected beforehand; counts as much as the documents. Votes alone can't
+#: tell a good document from a bad one to which no rule objects.
+USUAL_SHARE = 0.9
 KEEP_FROM = 0.5
 
 
@@ -132,10 +135,10 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 6
     """
     names, size = list(RULES), len(RULES)
     belief = [0.95 if 0 not in v else 0.2 ** v.count(0) for v, _ in patterns]
-    prior, good, bad = 0.9, [GOOD_BOUNDS[0]] * size, [0.3] * size
+    prior, good, bad = USUAL_SHARE, [GOOD_BOUNDS[0]] * size, [0.3] * size
     for _ in range(rounds if patterns else 0):
         total = sum(n for _, n in patterns)
-        prior = (sum(q * n for q, (_, n) in zip(belief, patterns, strict=True)) + 9) / (total + 10)
+        prior = (sum(q * n for q, (_, n) in zip(belief, patterns, strict=True)) / total + USUAL_SHARE) / 2
         for j in range(size):
             right = seen = bad_right = bad_seen = 0.0
             for q, (v, n) in zip(belief, patterns, strict=True):
