@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.llm import decontamination, discriminant, hilbert, language, licenses, lines, packing, rules, simhash, tokens
 from threatlake.llm.common import read
+from threatlake.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_hilbert_shards, op7_quality_rules, op8_language_id, op9_line_dedup, op10_token_counts,
     )
 }
-
-ORACLES: dict[str, str] = {}
