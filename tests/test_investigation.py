@@ -13,8 +13,8 @@ from threatlake.sources import intel as intel_source
 
 T0 = datetime(2024, 5, 1)
 INTEL = [
-    ("IPv4", "10.0.0.5", "MALICIOUS", 0.95), ("IPv4", "192.168.1.100", "SUSPICIOUS", 0.70), ("IPv4", "9.9.9.9", "BENIGN", 0.9),
-    ("Domain", "bad.example.com", "MALICIOUS", 0.98), ("Domain", "tie.example.com", "SUSPICIOUS", 0.95), ("Hash", "abc", "MALICIOUS", 1.0),
+    ("IPv4", "10.0.0.5", "MALICIOUS", 0.87), ("IPv4", "172.22.3.8", "SUSPICIOUS", 0.66), ("IPv4", "9.9.9.9", "BENIGN", 0.9),
+    ("Domain", "bad.example.com", "MALICIOUS", 0.98), ("Domain", "tie.example.com", "SUSPICIOUS", 0.87), ("Hash", "abc", "MALICIOUS", 1.0),
     ("IPv4", "6.6.6.6", "MALICIOUS", 0.0),
 ]
 
@@ -54,11 +54,11 @@ def test_indicators(spark):
 
 
 @pytest.mark.parametrize("src,dst,domain,digest,want,conf", [
-    ("10.0.0.5", "192.168.1.100", None, None, "MALICIOUS", 0.95), ("192.168.1.100", "1.1.1.1", None, None, "SUSPICIOUS", 0.70),
-    ("192.168.1.100", "10.0.0.5", None, None, "MALICIOUS", 0.95), ("9.9.9.9", "1.1.1.1", None, None, "BENIGN", 0.0),
+    ("10.0.0.5", "172.22.3.8", None, None, "MALICIOUS", 0.87), ("172.22.3.8", "1.1.1.1", None, None, "SUSPICIOUS", 0.66),
+    ("172.22.3.8", "10.0.0.5", None, None, "MALICIOUS", 0.87), ("9.9.9.9", "1.1.1.1", None, None, "BENIGN", 0.0),
     ("1.1.1.1", "1.1.1.2", None, None, "UNKNOWN", 0.0), ("6.6.6.6", "9.9.9.9", None, None, "BENIGN", 0.0),
-    ("6.6.6.6", "1.1.1.1", None, None, "UNKNOWN", 0.0), ("10.0.0.5", "1.1.1.1", "tie.example.com", None, "MALICIOUS", 0.95),
-    ("1.1.1.1", "1.1.1.2", "BAD.example.com", "ABC", "MALICIOUS", 1.0), ("1.1.1.1", "1.1.1.2", "tie.example.com", None, "SUSPICIOUS", 0.95),
+    ("6.6.6.6", "1.1.1.1", None, None, "UNKNOWN", 0.0), ("10.0.0.5", "1.1.1.1", "tie.example.com", None, "MALICIOUS", 0.87),
+    ("1.1.1.1", "1.1.1.2", "BAD.example.com", "ABC", "MALICIOUS", 1.0), ("1.1.1.1", "1.1.1.2", "tie.example.com", None, "SUSPICIOUS", 0.87),
 ])
 def test_reputation(spark, intel, src, dst, domain, digest, want, conf):
     df = events(spark, [event(1, 0, src, dst)]).withColumn("domain", F.lit(domain).cast("string")).withColumn("file_hash", F.lit(digest).cast("string"))
@@ -89,7 +89,7 @@ def test_lookup(spark, intel):
 
 
 def test_intel_documents(spark, tmp_path):
-    (tmp_path / "ips.json").write_text(json.dumps({"10.0.0.5": {"ip": "10.0.0.5", "reputation": "MALICIOUS", "confidence": 0.95,
+    (tmp_path / "ips.json").write_text(json.dumps({"10.0.0.5": {"ip": "10.0.0.5", "reputation": "MALICIOUS", "confidence": 0.87,
                                        "source": "demo", "categories": ["Botnet"], "threat_actor": "x"}, "::1": {"reputation": "BENIGN"}}))
     (tmp_path / "domains.json").write_text("{broken")
     (tmp_path / "hashes.json").write_text(json.dumps({"known_hashes": {"abc": {"type": "SHA256", "reputation": "MALICIOUS", "confidence": 1.0}}}))
@@ -119,7 +119,8 @@ def test_groups_and_rollup(spark, mixed):
         assert (row["first_seen"], row["last_seen"]) == (rows[0][2], rows[-1][2])
     tracked = {r["entity_key"]: r for r in correlate.entity_rollup(df).collect()}
     assert set(tracked) == set(by) - {"unknown-entity"}
-    assert correlate.entity_events(df).count() == len(mixed)
+    assert correlate.group_events(df).count() == len(mixed)
+    assert correlate.entity_events(df).count() == len(mixed) - len(by["unknown-entity"])
 
 
 def test_chain_running_and_incident(spark, intel, mixed):
@@ -208,3 +209,49 @@ def test_timeline_filter(spark, intel, mixed):
     assert inc.filter_timeline(line, threat_class="ddos").count() == sum(r[6] == "DDOS" for r in mixed)
     assert inc.filter_timeline(line, src_ip="10.0.0.5").count() == sum(r[3] == "10.0.0.5" for r in mixed)
     assert {r[0] for r in inc.filter_timeline(line, min_severity="HIGH").select("severity").distinct().collect()} <= {"HIGH", "CRITICAL"}
+
+
+def test_repeated_intel_rows_multiply_nothing(spark):
+    rows = [("IPv4", "10.0.0.5", "BENIGN", 0.4, "a"), ("IPv4", "10.0.0.5", "MALICIOUS", 0.9, "b"), ("IPv6", "10.0.0.5", "SUSPICIOUS", 0.1, "a"), ("IPv4", "10.0.0.5", "SUSPICIOUS", 0.2, "b")]
+    table = spark.createDataFrame(rows, "ioc_type string, value string, reputation string, confidence double, source string")
+    seen = events(spark, [event(i, i, "10.0.0.5") for i in range(4)])
+    assert enrichment.with_reputation(seen, table).count() == 4
+    assert {r["event_count"] for r in inc.incidents(inc.investigated(seen, table)).collect()} == {4}
+    found = enrichment.enrich_iocs(enrichment.extract_iocs(seen), table).where("value = '10.0.0.5'").collect()
+    assert len(found) == 4 and {(r["reputation"], r["intel_confidence"], r["intel"]["source"]) for r in found} == {("SUSPICIOUS", 0.2, "b")}
+    assert enrichment.lookup(seen.select(F.col("src_ip").alias("value")), table).count() == 4
+    one = enrichment.unique_intel(table.where("ioc_type = 'IPv4'")).first()
+    assert (one["reputation"], one["confidence"]) == ("SUSPICIOUS", 0.2)
+
+
+def test_entity_pairs_climb_the_ladder(spark):
+    """Two sources of one /24 take turns, each repeating its own target."""
+    seen = events(spark, [event(i, i, f"10.0.0.{5 + i % 2}", dst=f"10.9.9.{i % 2}") for i in range(6)])
+    got = {r["event"]["event_id"]: (r["previous"]["event_id"], r["strength"]) for r in correlate.entity_pairs(seen).collect()}
+    assert got == {"e1": ("e0", "WEAK"), **{f"e{i}": (f"e{i - 2}", "STRONG") for i in range(2, 6)}}
+
+
+def test_entity_pairs_against_all_pairs(spark, mixed):
+    seen = events(spark, mixed)
+    rows = seen.collect()
+    order = {"STRONG": 0, "MODERATE": 1, "EXACT_ENTITY": 2, "WEAK": 3}
+    net = lambda ip: ip.rsplit(".", 1)[0]
+    want = {}
+    for b in rows:
+        for a in rows:
+            if a["ts"] is None or b["ts"] is None or not a["src_ip"] or not b["src_ip"] or (a["ts"], a["arrival_seq"]) >= (b["ts"], b["arrival_seq"]):
+                continue
+            if (b["ts"] - a["ts"]).total_seconds() > 300:
+                continue
+            same = a["src_ip"] == b["src_ip"]
+            step = ("STRONG" if same and a["dst_ip"] == b["dst_ip"] else "MODERATE" if same and a["dst_port"] == b["dst_port"] and a["dst_port"] else
+                    "EXACT_ENTITY" if same else "WEAK" if net(a["src_ip"]) == net(b["src_ip"]) else None)
+            if step and (b["event_id"] not in want or order[step] < order[want[b["event_id"]]]):
+                want[b["event_id"]] = step
+    got = [(r["event"]["event_id"], r["strength"]) for r in correlate.entity_pairs(seen).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_events_without_time_are_in_no_session(spark):
+    seen = events(spark, [("a", 1, T0, "10.0.0.1", "x", 1, "DDOS", 0.9, 0.1), *[(f"n{i}", i, None, "10.0.0.1", "x", 1, "DDOS", 0.9, 0.1) for i in (2, 3)]])
+    assert [r["event_count"] for r in correlate.session_groups(seen).collect()] == [1]

@@ -17,9 +17,8 @@ INF, NAN = float("inf"), float("nan")
 @pytest.fixture(scope="module")
 def raw(spark):
     rows = [
-        (80, 100.0, 10, 500.0, "192.168.1.1", "BENIGN"), (80, INF, 20, -INF, "192.168.1.2", "DDoS"),
-        (443, 300.0, 30, NAN, "192.168.1.3", "PortScan"), (80, 100.0, 10, 500.0, "192.168.1.1", "BENIGN"),
-        (80, NAN, 15, 600.0, "192.168.1.5", "DDoS"),
+        (8443, 12.5, 7, -3.0, "10.8.0.4", "PortScan"), (25, NAN, 3, INF, "10.8.0.9", "BENIGN"), (8443, 12.5, 7, -3.0, "10.8.0.4", "PortScan"),
+        (25, INF, 9, NAN, None, "DDoS"), (993, 40.0, 2, 8.0, "10.8.0.7", "BENIGN"), (25, 16.0, 1, 2.0, "10.8.0.2", "DDoS"),
     ]
     return spark.createDataFrame(rows, "` Destination Port ` long, `Flow Duration` double, `Total Fwd Packets` long, `Flow Bytes/s` double, `Source IP` string, Label string")
 
@@ -52,22 +51,22 @@ def test_coercion(spark):
 def test_taxonomy_duplicates_roles_constants(raw):
     clean = quality.clean_headers(raw)
     got = [r["target"] for r in quality.label_taxonomy(clean).collect()]
-    assert got == ["BENIGN", "DDOS", "PORT_SCAN", "BENIGN", "DDOS"]
+    assert got == ["PORT_SCAN", "BENIGN", "PORT_SCAN", "DDOS", "BENIGN", "DDOS"]
     copies = sorted(r["copies"] for r in quality.deduplicate(clean).collect())
-    assert copies == [1, 1, 1, 2]
+    assert copies == [1, 1, 1, 1, 2]
     roles = {r["column_name"]: r for r in quality.profile(clean).collect()}
     assert roles["source_ip"]["role"] == "METADATA / IDENTIFIER" and roles["label"]["role"] == "TARGET"
     assert roles["flow_duration"]["role"] == "ML_FEATURE"
     assert (roles["flow_duration"]["nan_count"], roles["flow_duration"]["inf_count"]) == (1, 1)
-    assert (roles["flow_bytes_s"]["min_value"], roles["flow_bytes_s"]["max_value"]) == (500.0, 600.0)
+    assert (roles["flow_bytes_s"]["min_value"], roles["flow_bytes_s"]["max_value"]) == (-3.0, 8.0)
     assert [r[0] for r in quality.constant_columns(clean.withColumn("k", F.lit(3))).collect()] == ["k"]
 
 
 def test_imputation(raw):
     clean = quality.clean_headers(raw)
     medians = quality.fit_medians(clean, ["flow_duration", "flow_bytes_s"])
-    assert medians == {"flow_duration": statistics.median([100, 300, 100]), "flow_bytes_s": 500.0}
-    assert quality.fit_medians(clean, ["flow_duration"], accuracy=1000) == {"flow_duration": 100.0}
+    assert medians == {"flow_duration": statistics.median([12.5, 12.5, 40, 16]), "flow_bytes_s": statistics.median([-3, -3, 8, 2])}
+    assert quality.fit_medians(clean, ["flow_duration"], accuracy=1000) == {"flow_duration": 12.5}
     rows = quality.impute(clean, medians).collect()
     assert sum(r["imputed"] for r in rows) == 4 and all(np.isfinite(r["flow_duration"]) for r in rows)
     assert quality.infinite_count(clean, ["flow_duration", "flow_bytes_s"]).first().asDict() == {"flow_duration": 1, "flow_bytes_s": 1}
@@ -171,3 +170,26 @@ def check_ranked(spark):
         exp[s] = acc.get(k, 0)
         acc[k] = exp[s] + a
     assert total == exp
+
+
+def test_rows_without_label_or_group_stay(spark):
+    rows = [(f"k{i}", None if i % 3 == 0 else "a", float(i)) for i in range(15)]
+    df = spark.createDataFrame(rows, "k string, label string, v double").withColumn("ts", F.current_timestamp())
+    assert quality.stratified_split(df, "label", "k", {"train": 0.7, "test": 0.3}, exact=True).count() == 15
+    found = {r["label"]: r for r in ranking.percentile_summary(df, ["label"], "v", "ts", (0.5, 0.125, 0.995, 0.999)).collect()}
+    assert set(found) == {None, "a"} and found[None]["n"] == 5
+    none = [v for _, k, v in rows if k is None]
+    for p, name in ((0.5, "p50"), (0.125, "p12_5"), (0.995, "p99_5"), (0.999, "p99_9")):
+        assert found[None][name] == pytest.approx(np.percentile(none, p * 100))
+
+
+def test_percentiles_of_infinite_values_and_of_everything(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (INF,), (INF,), (INF,)], "v double")
+    got = {r["probability"]: r["value"] for r in ranking.percentiles(df, [], "v", [0.0, 0.25, 0.5, 0.9]).collect()}
+    assert got == {0.0: 1.0, 0.25: 2.0, 0.5: INF, 0.9: INF}
+
+
+def test_names_with_commas_are_refused():
+    from threatlake.functions.lists import listed
+    with pytest.raises(ValueError, match="comma"):
+        listed((F.lit(True), "a,b"))

@@ -140,9 +140,10 @@ def test_isolation_finds_outliers(spark):
 
 
 def test_repeated_connections(spark):
-    data = [("hot", f"{i:04d}") for i in range(300)] + [("cold", f"{i:04d}") for i in range(3)] + [(None, f"{i:04d}") for i in range(5)]
-    df = spark.createDataFrame(data, "c string, o string").repartition(4)
-    got = {(r["c"], r["o"]): r["repeated"] for r in detection.repeated_connections(df, ["c"], "o").collect()}
+    # ids run against time as text: 10 comes after 2
+    data = [("hot", str(i)) for i in range(300)] + [("cold", str(i)) for i in range(3)] + [(None, str(i)) for i in range(5)]
+    df = spark.createDataFrame([(c, o, int(o)) for c, o in data], "c string, o string, t int").repartition(4)
+    got = {(r["c"], r["o"]): r["repeated"] for r in detection.repeated_connections(df, ["c"], ["t", "o"]).collect()}
     assert got == {(c, o): int(o) >= 3 for c, o in data}
 
 
@@ -153,3 +154,55 @@ def test_event_assembly_and_routing(spark, sf):
     assert rows(a.select("event_id", "alert.alert_id")) == rows(detection.assemble(base, ["flow_id"]).select("event_id", "alert.alert_id"))
     report = quality.validate_flows(base, ["m3_confidence"])
     assert detection.batch_quality(report).first()["total"] == base.count()
+
+
+def folders(spark):
+    """Tables that scratch databases hold now."""
+    names = [r[0] for r in spark.sql("SHOW DATABASES").collect() if r[0].startswith("scratch_")]
+    return sum(spark.sql(f"SHOW TABLES IN {n}").count() for n in names)
+
+
+def test_scratch_goes_with_its_block_and_on_release(spark, sf, tmp_path):
+    from threatlake import session
+    session.release(spark)
+    with session.Scratch(spark) as work:
+        one = work.table(spark.range(5), "one")
+        kept = work.keep(spark.range(7), "two")
+        assert one.count() == 5 and folders(spark) == 2
+    assert folders(spark) == 1 and kept.count() == 7
+    session.release(spark)
+    assert folders(spark) == 0
+    alerts = desk.to_bodies(load(spark, sf, "desk_alerts")).select("arrival_seq", "body")
+    drop, home = str(tmp_path / "drop"), str(tmp_path / "home")
+    for part in range(20):
+        alerts.where(F.col("arrival_seq") % 20 == part).coalesce(1).write.mode("append").parquet(drop)
+    from threatlake.plans.desk import accept
+    source.reset_table(accept(alerts.limit(0))[0], home)
+    session.release(spark)
+    stream = source.stream(spark, drop, alerts.schema, files_per_trigger=1)
+    jobs.alert_stream(stream, home, str(tmp_path / "rejects"), str(tmp_path / "mark"), available_now=True).awaitTermination()
+    assert folders(spark) == 0 and spark.read.parquet(home).count() > 0
+
+
+def test_third_class_and_unlabelled_rows(spark):
+    rng = np.random.default_rng(1)
+    data = [(k, float(rng.normal(s, 0.3))) for k, s in (("BENIGN", 0), ("DDOS", 5), ("PORT_SCAN", -5), ("BOTNET", 0), (None, 9)) for _ in range(40)]
+    df = spark.createDataFrame(data, "target string, a double")
+    small = models.ForestSettings(trees=5, depth=4)
+    m3 = models.train_m3(df, ["a"], settings=small)
+    assert set(models.labels_of(m3)) == set(models.M3_CLASSES) and models.unlabelled(df) == 40
+    assert set(models.labels_of(models.train_m4(df, ["a"], settings=small))) == {"BENIGN", "BOTNET", "DDOS", "PORT_SCAN"}
+
+
+def test_window_updates_cover_open_windows(spark, sf, tmp_path):
+    events = load(spark, sf, "threat_events")
+    drop, out = str(tmp_path / "drop"), str(tmp_path / "out")
+    for part in range(3):
+        events.where(F.col("arrival_seq") % 3 == part).coalesce(1).write.mode("append").parquet(drop)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(drop)
+    jobs.window_updates(jobs.windowed(stream, lateness=None), out, str(tmp_path / "mark"), available_now=True).awaitTermination()
+    keys = ("src_ip", "window_start", "window_end")
+    latest = jobs.latest_snapshots(spark.read.parquet(out), keys)
+    assert rows(latest) == rows(jobs.windowed(events).select(latest.columns))
+    compacted = jobs.compact_snapshots(spark, out, str(tmp_path / "small"), keys)
+    assert compacted.count() == latest.count() and rows(jobs.latest_snapshots(compacted, keys)) == rows(latest)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threatlake.contracts import flow_contract
+
 THREAT_EVENTS = """
 SELECT concat('evt-', event_id) AS event_id, event_id AS arrival_seq, ts,
   concat('10.0.', CAST(FLOOR(user_id / 50) AS BIGINT), '.', user_id % 50 + 1) AS src_ip,
@@ -39,7 +41,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_qua
   CAST(l_partkey % 128 AS DOUBLE) AS fwd_pkt_len_mean,
   l_tax * 1000 AS flow_iat_mean,
   l_quantity * 100 * (l_linenumber % 2) AS flow_duration,
-  CASE l_returnflag WHEN 'A' THEN 'DDoS' WHEN 'R' THEN 'PortScan' ELSE 'BENIGN' END AS label
+  CASE l_returnflag WHEN 'A' THEN 'DDoS' WHEN 'R' THEN 'PortScan' ELSE CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE 'BENIGN' END END AS label
 FROM {lineitem}
 """
 
@@ -80,10 +82,11 @@ SELECT page_id, concat(substr(md5(CAST(page_id AS VARCHAR(20))), 1, 16),
 
 INTEL = """
 SELECT * FROM (VALUES
-  ('IPv4','10.0.0.5','MALICIOUS',CAST(0.95 AS DOUBLE)), ('IPv4','10.0.1.9','SUSPICIOUS',CAST(0.70 AS DOUBLE)),
-  ('IPv4','10.0.2.3','BENIGN',CAST(0.90 AS DOUBLE)),    ('IPv4','192.168.1.4','SUSPICIOUS',CAST(0.95 AS DOUBLE)),
-  ('IPv4','192.168.1.7','BENIGN',CAST(0.80 AS DOUBLE)), ('Domain','blog.tionsh.example.net','MALICIOUS',CAST(0.98 AS DOUBLE))
-) AS t(ioc_type, value, reputation, confidence)
+  ('IPv4','10.0.0.6','MALICIOUS',CAST(0.91 AS DOUBLE),'feed-b','actor-1'), ('IPv4','10.0.1.9','SUSPICIOUS',CAST(0.64 AS DOUBLE),'feed-a',NULL),
+  ('IPv4','10.0.2.3','BENIGN',CAST(0.90 AS DOUBLE),'feed-a',NULL), ('IPv4','192.168.1.4','SUSPICIOUS',CAST(0.91 AS DOUBLE),'feed-a',NULL),
+  ('IPv4','192.168.1.7','BENIGN',CAST(0.80 AS DOUBLE),'feed-c',NULL), ('Domain','blog.tionsh.example.net','MALICIOUS',CAST(0.96 AS DOUBLE),'feed-a','actor-2'),
+  ('IPv4','10.0.0.6','BENIGN',CAST(0.99 AS DOUBLE),'feed-a',NULL), ('IPv4','192.168.1.4','MALICIOUS',CAST(0.50 AS DOUBLE),NULL,NULL)
+) AS t(ioc_type, value, reputation, confidence, source, threat_actor)
 """
 
 # Model verdicts for a flow, by rule, so that fusion and event assembly can be checked in SQL.
@@ -99,7 +102,23 @@ SELECT flow_id, ts, src_ip, dst_ip, dst_port,
 FROM ({flows}) f
 """
 
+#: all contract columns by rule: eight as in ``flows``, the others whole numbers of the line's keys
+_KNOWN = {
+    "destination_port": "dst_port", "flow_duration": "CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE flow_duration END",
+    "total_fwd_packets": "total_fwd_packets", "total_backward_packets": "total_bwd_packets",
+    "total_length_of_fwd_packets": "total_fwd_bytes", "total_length_of_bwd_packets": "total_bwd_bytes",
+    "fwd_packet_length_max": "fwd_pkt_len_max", "fwd_packet_length_mean": "fwd_pkt_len_mean", "flow_iat_mean": "flow_iat_mean",
+    "flow_bytes_s": "CASE WHEN l_partkey % 59 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE total_fwd_bytes / 8 END",
+}
+_FULL = ", ".join(
+    f"CAST({_KNOWN.get(c, f'(l_partkey * {i + 3} + l_suppkey * 7 + l_linenumber) % {50 + 13 * i}')} AS DOUBLE) AS {c}"
+    for i, c in enumerate(flow_contract().columns)
+)
+_KEYED = FLOWS.replace("l_shipdate AS ts,", "l_shipdate AS ts, l_partkey, l_suppkey, l_linenumber,")
+FULL_FLOWS = f"SELECT flow_id, ts, src_ip, dst_ip, dst_port, label, {_FULL} FROM ({_KEYED}) f"
+
 _INPUTS = {
+    "full_flows": (FULL_FLOWS, ("lineitem",)),
     "threat_events": (THREAT_EVENTS, ("events",)),
     "flows": (FLOWS, ("lineitem",)),
     "flows_dirty": (FLOWS_DIRTY, ("lineitem",)),
@@ -114,15 +133,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan yields fewer partitions (a test table is one row group).
-
-    For stages heavy on computation; a table of many files passes through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, inputs = _INPUTS[name]
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in inputs})

@@ -7,7 +7,7 @@ from threatlake.catalog.queries import ADDRESSES, ENDPOINT_VARIANTS
 from threatlake.contracts import ANALYSIS_FIELDS, CORRELATION_FIELDS
 from threatlake.operators.alerts import ASK_MANY, ASK_ONE
 
-EVENTS, FLOWS, DIRTY = sql_text("threat_events"), sql_text("flows"), sql_text("flows_dirty")
+EVENTS, FLOWS, DIRTY, FULL = sql_text("threat_events"), sql_text("flows"), sql_text("flows_dirty"), sql_text("full_flows")
 DESK, DOMAINS, INTEL, PREDICTED = (sql_text(n) for n in ("desk_alerts", "domains", "intel", "predicted_flows"))
 
 
@@ -40,10 +40,11 @@ IOCS = f"""i0 AS (SELECT event_id, ts, confidence, 0 AS ord, 'IPv4' AS ioc_type,
     WHERE trim(domain) <> '' AND lower(trim(domain)) NOT IN (src_ip, dst_ip)
   UNION ALL SELECT event_id, ts, confidence, 4, 'Hash', lower(trim(file_hash)) FROM e WHERE trim(file_hash) <> ''),
 ioc AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ord) - 1 AS slot FROM i0),
-intel AS ({INTEL}),
+intel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ioc_type, value ORDER BY source DESC NULLS LAST) AS pick FROM ({INTEL}) i) x WHERE pick = 1),
 ien AS (SELECT ioc.event_id, ioc.slot, ioc.ord, ioc.ioc_type, ioc.value,
   CASE WHEN intel.value IS NOT NULL THEN 'found' WHEN ioc.ioc_type = 'Port' THEN 'not_applicable' ELSE 'not_found' END AS intel_status,
-  coalesce(intel.reputation, 'UNKNOWN') AS reputation, coalesce(intel.confidence, 0.0) AS intel_confidence
+  coalesce(intel.reputation, 'UNKNOWN') AS reputation, coalesce(intel.confidence, 0.0) AS intel_confidence,
+  coalesce(intel.source, 'none') AS intel_source, coalesce(intel.threat_actor, 'none') AS threat_actor
   FROM ioc LEFT JOIN intel ON ioc.ioc_type = intel.ioc_type AND ioc.value = intel.value),
 top AS (SELECT event_id, count(*) AS ioc_count,
   max(CASE WHEN reputation IN ('MALICIOUS','SUSPICIOUS') THEN intel_confidence ELSE 0.0 END) AS top_conf,
@@ -111,7 +112,7 @@ def _n_faults(text: str) -> str:
 
 def _c2() -> str:
     return f"""WITH f AS ({FLOWS}),
-h AS (SELECT *, count(*) OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM f),
+h AS (SELECT *, count(*) OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY ts, flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM f),
 g AS (SELECT *, dst_port IN (6667,6697,4444,8443,1337,31337,5555,9001,9090) AS a, total_fwd_packets >= 5 AND fwd_pkt_len_mean > 0 AND fwd_pkt_len_mean <= 64 AS b,
   flow_iat_mean > 0 AND flow_duration > 0 AS c, earlier >= 3 AS d FROM h),
 k AS (SELECT *, round(least(CASE WHEN a THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN b THEN 0.30::DOUBLE ELSE 0 END + CASE WHEN c THEN 0.20::DOUBLE ELSE 0 END
@@ -212,6 +213,11 @@ def _alert_line(proof: str) -> str:
 ANSWER_FAULTS = """concat_ws(',', CASE WHEN severity = 'EXTREME' THEN 'risk_level' END, CASE WHEN confidence > 1 THEN 'confidence' END,
   CASE WHEN severity = 'EXTREME' THEN 'investigation_priority' END)"""
 
+_TARGET = "CASE label WHEN 'DDoS' THEN 'DDOS' WHEN 'PortScan' THEN 'PORT_SCAN' WHEN 'BENIGN' THEN 'BENIGN' END"
+_SPLIT = f"""t AS (SELECT {_TARGET} AS target FROM ({FLOWS}) x),
+q AS (SELECT target, row_number() OVER (PARTITION BY target) - 1 AS p, count(*) OVER (PARTITION BY target) AS c FROM t),
+s AS (SELECT target, CASE WHEN p * 1.0::DOUBLE / c < 0.7::DOUBLE THEN 'train' ELSE 'test' END AS split FROM q)"""
+
 ORACLES: dict[str, str] = {
     "scan_flows": FLOWS,
     "scan_alerts": DESK,
@@ -243,9 +249,14 @@ SELECT arrival_seq, NOT prose AS has_document,
   CASE WHEN prose THEN 'not_object' WHEN cut THEN 'missing:investigation_priority' ELSE faults END AS errors FROM b""",
     "validate_ai_correlations": f"""SELECT arrival_seq, concat_ws(',', CASE WHEN protocol = 'UDP' THEN 'related' END, CASE WHEN confidence > 1 THEN 'confidence' END) AS errors
   FROM ({DESK}) a""",
-    "answer_documents": "SELECT conv_id, turn, false AS has_document, 'not_object' AS errors FROM conversations WHERE role = 'assistant'",
+    "answer_documents": """SELECT conv_id, turn, (conv_id + turn) % 3 = 0 AS has_document,
+  CASE WHEN (conv_id + turn) % 3 <> 0 THEN 'not_object' WHEN conv_id % 2 <> 0 THEN 'missing:investigation_priority' ELSE '' END AS errors
+  FROM conversations WHERE role = 'assistant'""",
     "assemble_event": f"""WITH {FUSED} SELECT sha256(flow_id) AS event_id, ts AS "timestamp", threat_class, decision, confidence, anomaly_score, src_ip, dst_ip, dst_port,
-  m3_class, m4_class, severity, 'NEW' AS alert_status, 'success' AS status FROM us""",
+  m3_class, m4_class, severity, 'NEW' AS alert_status, 'success' AS status, decision AS alert_decision, ts AS alert_time,
+  CASE WHEN threat_class <> 'BENIGN' AND coalesce(confidence, 1) >= 0.8 THEN 'attack_confidence' WHEN anomaly_score >= 0.7 THEN 'anomaly'
+    WHEN threat_class = 'BENIGN' AND coalesce(confidence, 1) >= 0.8 THEN 'benign_confidence' WHEN threat_class <> 'BENIGN' THEN 'attack_below_threshold'
+    ELSE 'benign_below_threshold' END AS decision_reason FROM us""",
     "route_events": f"""WITH {DECIDED}, {FUSED} SELECT event_id AS id, threat_class, confidence, decision, severity FROM s
   UNION ALL SELECT flow_id, threat_class, confidence, decision, severity FROM us""",
     "incident_timeline": f"""WITH {RUNNING} SELECT concat('inc-', replace(r.src_ip, '.', '-')) AS incident_id, r.position, event_id, ts, threat_class, decision, severity,
@@ -253,8 +264,9 @@ SELECT arrival_seq, NOT prose AS has_document,
     "incident_techniques": f"""WITH {SCORED} SELECT concat('inc-', replace(src_ip, '.', '-')) AS incident_id, technique_id, tactic, count(*) AS n
   FROM sc WHERE technique_id IS NOT NULL GROUP BY 1, 2, 3""",
     "extract_iocs": f"WITH e AS ({EVENTS}), {IOCS} SELECT event_id AS source_event_id, slot, ioc_type, value, ts AS first_seen, confidence FROM ioc",
-    "ioc_enrich": f"WITH e AS ({EVENTS}), {IOCS} SELECT event_id AS source_event_id, slot, ioc_type, value, intel_status, reputation, intel_confidence FROM ien",
-    "ioc_lookup": f"""WITH e AS ({EVENTS}), intel AS ({INTEL}),
+    "ioc_enrich": f"WITH e AS ({EVENTS}), {IOCS} SELECT event_id AS source_event_id, slot, ioc_type, value, intel_status, reputation, intel_confidence, intel_source, threat_actor FROM ien",
+    "ioc_lookup": f"""WITH e AS ({EVENTS}),
+intel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ioc_type, value ORDER BY source DESC NULLS LAST) AS pick FROM ({INTEL}) i) x WHERE pick = 1),
 v AS (SELECT src_ip AS value FROM e UNION SELECT dst_ip FROM e UNION SELECT domain FROM e WHERE domain IS NOT NULL)
 SELECT v.value, CASE WHEN a.value IS NOT NULL THEN 'ip' WHEN b.value IS NOT NULL THEN 'domain' ELSE 'none' END AS matched_as,
   coalesce(a.reputation, b.reputation, 'UNKNOWN') AS reputation, coalesce(a.confidence, b.confidence, 0.0) AS intel_confidence
@@ -263,13 +275,21 @@ FROM v LEFT JOIN intel a ON a.ioc_type IN ('IPv4','IPv6') AND trim(v.value) = a.
     "mitre_map": f"""WITH {DECIDED}, t AS (SELECT *, {TECHNIQUE} AS technique_id FROM s)
 SELECT event_id, technique_id, {TECH_NAME} AS technique_name, {TACTIC} AS tactic,
   CASE WHEN technique_id = 'NO_CONFIDENT_MAPPING' THEN CASE threat_class WHEN 'BOTNET' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END
-  WHEN technique_id = 'T1071' THEN round(confidence * 0.85::DOUBLE, 4) ELSE round(confidence * 0.95::DOUBLE, 4) END AS technique_confidence
+  WHEN technique_id = 'T1071' THEN round(confidence * 0.85::DOUBLE, 4) ELSE round(confidence * 0.95::DOUBLE, 4) END AS technique_confidence,
+  CASE technique_id WHEN 'NO_CONFIDENT_MAPPING' THEN 'class_without_technique' WHEN 'T1071' THEN 'class_and_port' ELSE 'class' END AS mapping_basis,
+  concat('class=', threat_class, CASE technique_id WHEN 'T1071' THEN concat(',dst_port=', dst_port) ELSE '' END) AS mapping_evidence
 FROM t WHERE technique_id IS NOT NULL""",
     "chain_with_mitre": f"""WITH {RUNNING} SELECT src_ip AS entity_key, position AS stage_id, event_id, coalesce(technique_id, 'none') AS technique_id,
   coalesce(technique_name, 'none') AS technique_name FROM r""",
-    "entity_pairs": f"""{_successor("concat(regexp_replace(src_ip, '[0-9]+$', ''), '0/24')")}
-SELECT entity_key, previous_id, event_id, CASE WHEN src_ip = p_src THEN CASE WHEN dst_ip = p_dst THEN 'STRONG' WHEN dst_port = p_port THEN 'MODERATE' ELSE 'EXACT_ENTITY' END
-  ELSE 'WEAK' END AS strength FROM g WHERE gap_micros <= 300000000""",
+    "entity_pairs": f"""WITH e AS ({EVENTS}), k AS (SELECT *, concat(regexp_replace(src_ip, '[0-9]+$', ''), '0/24') AS entity_key FROM e),
+l AS (SELECT *, lag(event_id) OVER a AS i1, lag(ts) OVER a AS t1, lag(event_id) OVER b AS i2, lag(ts) OVER b AS t2,
+  lag(event_id) OVER c AS i3, lag(ts) OVER c AS t3, lag(event_id) OVER d AS i4, lag(ts) OVER d AS t4 FROM k
+  WINDOW a AS (PARTITION BY src_ip, dst_ip ORDER BY ts, arrival_seq), b AS (PARTITION BY src_ip, dst_port ORDER BY ts, arrival_seq),
+    c AS (PARTITION BY src_ip ORDER BY ts, arrival_seq), d AS (PARTITION BY entity_key ORDER BY ts, arrival_seq)),
+g AS (SELECT *, CASE WHEN ts - t1 <= INTERVAL '300 seconds' THEN 1 WHEN ts - t2 <= INTERVAL '300 seconds' THEN 2
+  WHEN ts - t3 <= INTERVAL '300 seconds' THEN 3 WHEN ts - t4 <= INTERVAL '300 seconds' THEN 4 END AS step FROM l)
+SELECT entity_key, CASE step WHEN 1 THEN i1 WHEN 2 THEN i2 WHEN 3 THEN i3 ELSE i4 END AS previous_id, event_id,
+  CASE step WHEN 1 THEN 'STRONG' WHEN 2 THEN 'MODERATE' WHEN 3 THEN 'EXACT_ENTITY' ELSE 'WEAK' END AS strength FROM g WHERE step IS NOT NULL""",
     "window_pairs": f"{_successor('src_ip')} SELECT entity_key, previous_id, event_id, gap_micros FROM g WHERE gap_micros <= 300000000",
     "analysis_worklist": f"WITH {APPEND} SELECT arrival_seq, alert_id FROM a WHERE protocol <> 'UDP' AND alert_id NOT IN (SELECT alert_id FROM st)",
     "resolve_ids": f"""WITH {APPEND}, q AS (SELECT DISTINCT source_ip AS request_id, alert_id FROM a WHERE protocol <> 'UDP')
@@ -287,8 +307,9 @@ g AS (SELECT src_ip, count(*) AS event_count, arg_min(ts, arrival_seq) AS first_
 SELECT concat('grp-', g.src_ip) AS group_id, 'EXACT_ENTITY' AS correlation_strength, event_count, threat_classes, first_seen, last_seen FROM g JOIN l ON g.src_ip = l.src_ip""",
     "decision_distribution": f"WITH {DECIDED} SELECT decision, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct FROM s GROUP BY decision",
     "severity_distribution": f"WITH {DECIDED} SELECT severity, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct FROM s GROUP BY severity",
-    "latency_percentiles": f"""SELECT label, count(*) AS n, round(quantile_cont(total_fwd_bytes, 0.5), 4) AS p50, round(quantile_cont(total_fwd_bytes, 0.95), 4) AS p95,
-  round(quantile_cont(total_fwd_bytes, 0.99), 4) AS p99, round(count(*) * 86400.0::DOUBLE / date_diff('second', min(ts), max(ts)), 4) AS per_day FROM ({FLOWS}) f GROUP BY label""",
+    "latency_percentiles": f"""WITH f0 AS ({FLOWS}), f AS (SELECT label, ts, CASE WHEN fwd_pkt_len_max = 1599 THEN 'Infinity'::DOUBLE ELSE total_fwd_bytes END AS total_fwd_bytes FROM f0)
+SELECT label, count(*) AS n, round(quantile_cont(total_fwd_bytes, 0.5), 4) AS p50, round(quantile_cont(total_fwd_bytes, 0.95), 4) AS p95,
+  round(quantile_cont(total_fwd_bytes, 0.99), 4) AS p99, round(count(*) * 86400.0::DOUBLE / date_diff('second', min(ts), max(ts)), 4) AS per_day FROM f GROUP BY label""",
     "batch_quality": f"""WITH {FUSED} SELECT count(*) AS total, count(*) FILTER (WHERE m3_confidence IS NOT NULL) AS ok, count(*) FILTER (WHERE m3_confidence IS NULL) AS failed,
   count(*) FILTER (WHERE m3_confidence IS NOT NULL AND decision <> 'BENIGN') AS alerts FROM us""",
     "profile_dataset": _profile(),
@@ -303,7 +324,7 @@ SELECT src_ip AS entity_key, stage_id, CASE WHEN stage_id = 1 THEN 'OBSERVED' EL
     "running_risk": f"WITH {RUNNING} SELECT event_id, src_ip AS entity_key, events_so_far, risk_score, {LEVEL} AS risk_level FROM r",
     "sliding_count": f"""WITH e AS (SELECT *, epoch_us(date_trunc('second', ts)) // 1000000 AS sec FROM ({EVENTS}) x)
 SELECT event_id, src_ip, count(*) OVER (PARTITION BY src_ip ORDER BY sec RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS recent_count FROM e""",
-    "session_groups": f"""WITH e AS ({EVENTS}),
+    "session_groups": f"""WITH e AS (SELECT * FROM ({EVENTS}) y WHERE arrival_seq % 37 <> 0),
 b AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY src_ip ORDER BY ts)) > 300000000 THEN 1 ELSE 0 END AS brk FROM e),
 n AS (SELECT *, 1 + sum(brk) OVER (PARTITION BY src_ip ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session_no FROM b)
 SELECT src_ip, CAST(session_no AS BIGINT) AS session_no, min(ts) AS session_start, max(ts) AS session_end, count(*) AS event_count FROM n GROUP BY 1, 2""",
@@ -335,7 +356,7 @@ SELECT flow_id, total_packets, CAST(bytes_out AS BIGINT) AS bytes_out, CAST(byte
 o AS (SELECT ip, CAST(split_part(ip, '.', 1) AS INT) AS a1, CAST(split_part(ip, '.', 2) AS INT) AS a2, CAST(split_part(ip, '.', 4) AS INT) AS a4 FROM a)
 SELECT ip, CASE WHEN a4 <= 255 THEN 'IPv4' ELSE 'none' END AS kind,
   CASE WHEN a4 > 255 OR (a1 = 100 AND a2 BETWEEN 64 AND 127) THEN 'none' ELSE concat(regexp_replace(ip, '[0-9]+$', ''), '0/24') END AS subnet FROM o""",
-    "label_taxonomy": f"""SELECT flow_id, label, CASE label WHEN 'DDoS' THEN 'DDOS' WHEN 'PortScan' THEN 'PORT_SCAN' ELSE 'BENIGN' END AS target FROM ({FLOWS}) f""",
+    "label_taxonomy": f"""SELECT flow_id, label, CASE label WHEN 'DDoS' THEN 'DDOS' WHEN 'PortScan' THEN 'PORT_SCAN' WHEN 'BENIGN' THEN 'BENIGN' END AS target FROM ({FLOWS}) f""",
     "minmax_anomaly": f"""WITH f AS ({FLOWS}), m AS (SELECT min(total_fwd_bytes) AS lo, max(total_fwd_bytes) AS hi FROM f)
 SELECT flow_id, round(least(greatest((hi - total_fwd_bytes) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 0), 1), 6) AS anomaly_level FROM f, m""",
     "stream_detect": f"""WITH {FUSED} SELECT flow_id, CASE WHEN m3_confidence IS NULL THEN 'error' ELSE 'success' END AS status,
@@ -356,12 +377,34 @@ SELECT label, CASE WHEN p * 1.0::DOUBLE / c < 0.7::DOUBLE THEN 'train' WHEN p *
     "correlation_prompts": f"""WITH a AS ({DESK}) SELECT DISTINCT source_ip AS request_id, -1::BIGINT AS arrival_seq, 0 AS part,
   '{ASK_MANY + ", ".join(CORRELATION_FIELDS)}' AS line FROM a
   UNION ALL SELECT source_ip, arrival_seq, 1, {_alert_line("'{}'")} FROM a""",
-    "explain_incidents": f"""WITH {RUNNING} SELECT incident_id, event_count, split_part(title, ' from ', 1) AS primary_class,
+    "explain_incidents": f"""WITH {RUNNING},
+p AS (SELECT src_ip, confidence, anomaly_score, severity, reputation AS rep, technique_id, technique_name, tactic, threat_class, dst_port FROM r WHERE down = 1)
+SELECT incident_id, event_count, split_part(title, ' from ', 1) AS primary_class,
   concat(event_count, ' event(s) from ', source_entity, ', first seen as ', split_part(title, ' from ', 1), '; risk ', risk_score, ' (', risk_level, '); ', ioc_count,
-  ' indicator(s), reputation ', reputation, '; technique ', technique_id) AS summary FROM inc""",
+  ' indicator(s), reputation ', reputation, '; technique ', inc.technique_id) AS summary,
+  round(confidence * 100, 2) AS confidence_component, round(anomaly_score * 100, 2) AS anomaly_component,
+  CASE severity WHEN 'INFO' THEN 10::DOUBLE WHEN 'LOW' THEN 30::DOUBLE WHEN 'MEDIUM' THEN 50::DOUBLE WHEN 'HIGH' THEN 80::DOUBLE ELSE 100::DOUBLE END AS severity_component,
+  CASE rep WHEN 'BENIGN' THEN 0::DOUBLE WHEN 'SUSPICIOUS' THEN 60::DOUBLE WHEN 'MALICIOUS' THEN 100::DOUBLE ELSE 20::DOUBLE END AS intel_component,
+  least(event_count * 25::DOUBLE, 100) AS correlation_component,
+  CASE WHEN p.technique_id IS NULL THEN 'no technique' ELSE concat(p.technique_id, ' ', technique_name, '; tactic ', tactic, '; by ',
+    CASE p.technique_id WHEN 'NO_CONFIDENT_MAPPING' THEN 'class_without_technique' WHEN 'T1071' THEN 'class_and_port' ELSE 'class' END,
+    '; class=', threat_class, CASE p.technique_id WHEN 'T1071' THEN concat(', dst_port=', dst_port) ELSE '' END) END AS technique_context
+FROM inc JOIN p ON inc.source_entity = p.src_ip""",
     "explain_events": f"""WITH {DECIDED} SELECT concat('inc-', replace(src_ip, '.', '-')) AS incident_id, row_number() OVER (PARTITION BY src_ip ORDER BY arrival_seq) AS line, event_id,
   concat(threat_class, ' (', decision, ') at ', ts, ', confidence ', confidence, ', anomaly ', anomaly_score) AS evidence FROM s""",
-    "stream_windows": f"""WITH e AS ({EVENTS}), w AS (SELECT src_ip, time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(*) AS event_count FROM e GROUP BY 1, 2)
-SELECT src_ip, window_start, window_start + INTERVAL '5 minutes' AS window_end, event_count FROM w
-WHERE window_start + INTERVAL '5 minutes' <= (SELECT max(ts) FROM e) - INTERVAL '10 minutes'""",
+    "stream_windows": f"""SELECT src_ip, time_bucket(INTERVAL '5 minutes', ts) AS window_start, time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end,
+  count(*) AS event_count FROM ({EVENTS}) e GROUP BY 1, 2, 3""",
+    "class_weights": f"""WITH f AS (SELECT {_TARGET} AS target FROM ({FLOWS}) x WHERE label IS NOT NULL),
+c AS (SELECT target, count(*) AS n FROM f GROUP BY 1)
+SELECT target, n, round(sum(n) OVER () * 1.0::DOUBLE / (count(*) OVER () * n), 6) AS weight FROM c""",
+    "isolation_forest": f"SELECT count(*) + 3 AS n, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, true AS planted_first FROM ({FLOWS}) f",
+    "predict_batch": f"""WITH {_SPLIT} SELECT split, count(*) AS n, 0 AS other_decision, 0 AS other_severity, 0 AS other_class, 0 AS odd_scores FROM s GROUP BY 1""",
+    **{m: f"""WITH {_SPLIT} SELECT coalesce(target, 'none') AS target, count(*) AS n, 0 AS bad_confidence, 0 AS bad_maps, true AS accuracy_met
+  FROM s WHERE split = 'test' GROUP BY 1""" for m in ("train_m3", "train_m4")},
+    **{q: f"""WITH f AS ({FULL}), g AS (SELECT *, CASE WHEN flow_duration IS NULL THEN 'flow_duration' ELSE '' END AS nan_features,
+  CASE WHEN isinf(flow_bytes_s) THEN 'flow_bytes_s' ELSE '' END AS inf_features FROM f),
+h AS (SELECT *, nan_features = '' AND inf_features = '' AS good FROM g)
+SELECT flow_id, CASE WHEN good THEN 'success' ELSE 'error' END AS status, CASE WHEN good THEN 'none' ELSE 'FEATURE_SCHEMA_MISMATCH' END AS error_type,
+  CASE WHEN good THEN sha256(flow_id) ELSE 'none' END AS event_id, CASE WHEN good THEN src_ip ELSE 'none' END AS src_ip,
+  CASE WHEN good THEN dst_port ELSE -1 END AS dst_port, nan_features, inf_features, true AS agrees FROM h""" for q in ("detect_flows", "stream_detect_flows")},
 }

@@ -9,74 +9,74 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 # The 66 flow features in contract order, with their numeric type.
-FLOW_FEATURES_TEXT = """
-Destination Port: long
-Flow Duration: long
-Total Fwd Packets: long
-Total Backward Packets: long
-Total Length of Fwd Packets: long
-Total Length of Bwd Packets: long
-Fwd Packet Length Max: long
-Fwd Packet Length Min: long
-Fwd Packet Length Mean: double
-Fwd Packet Length Std: double
-Bwd Packet Length Max: long
-Bwd Packet Length Min: long
-Bwd Packet Length Mean: double
-Bwd Packet Length Std: double
-Flow Bytes/s: double
-Flow Packets/s: double
-Flow IAT Mean: double
-Flow IAT Std: double
-Flow IAT Max: long
-Flow IAT Min: long
-Fwd IAT Total: long
-Fwd IAT Mean: double
-Fwd IAT Std: double
-Fwd IAT Max: long
-Fwd IAT Min: long
-Bwd IAT Total: long
-Bwd IAT Mean: double
-Bwd IAT Std: double
-Bwd IAT Max: long
-Bwd IAT Min: long
-Fwd PSH Flags: long
-Fwd Header Length: long
-Bwd Header Length: long
-Fwd Packets/s: double
-Bwd Packets/s: double
-Min Packet Length: long
-Max Packet Length: long
-Packet Length Mean: double
-Packet Length Std: double
-Packet Length Variance: double
-FIN Flag Count: long
-SYN Flag Count: long
-PSH Flag Count: long
-ACK Flag Count: long
-URG Flag Count: long
-Down/Up Ratio: long
-Average Packet Size: double
-Avg Fwd Segment Size: double
-Avg Bwd Segment Size: double
-Fwd Header Length.1: long
-Subflow Fwd Packets: long
-Subflow Fwd Bytes: long
-Subflow Bwd Packets: long
-Subflow Bwd Bytes: long
-Init_Win_bytes_forward: long
-Init_Win_bytes_backward: long
-act_data_pkt_fwd: long
-min_seg_size_forward: long
-Active Mean: double
-Active Std: double
-Active Max: long
-Active Min: long
-Idle Mean: double
-Idle Std: double
-Idle Max: long
-Idle Min: long
-"""
+FLOW_FEATURES = (
+    ("Destination Port", "long"),
+    ("Flow Duration", "long"),
+    ("Total Fwd Packets", "long"),
+    ("Total Backward Packets", "long"),
+    ("Total Length of Fwd Packets", "long"),
+    ("Total Length of Bwd Packets", "long"),
+    ("Fwd Packet Length Max", "long"),
+    ("Fwd Packet Length Min", "long"),
+    ("Fwd Packet Length Mean", "double"),
+    ("Fwd Packet Length Std", "double"),
+    ("Bwd Packet Length Max", "long"),
+    ("Bwd Packet Length Min", "long"),
+    ("Bwd Packet Length Mean", "double"),
+    ("Bwd Packet Length Std", "double"),
+    ("Flow Bytes/s", "double"),
+    ("Flow Packets/s", "double"),
+    ("Flow IAT Mean", "double"),
+    ("Flow IAT Std", "double"),
+    ("Flow IAT Max", "long"),
+    ("Flow IAT Min", "long"),
+    ("Fwd IAT Total", "long"),
+    ("Fwd IAT Mean", "double"),
+    ("Fwd IAT Std", "double"),
+    ("Fwd IAT Max", "long"),
+    ("Fwd IAT Min", "long"),
+    ("Bwd IAT Total", "long"),
+    ("Bwd IAT Mean", "double"),
+    ("Bwd IAT Std", "double"),
+    ("Bwd IAT Max", "long"),
+    ("Bwd IAT Min", "long"),
+    ("Fwd PSH Flags", "long"),
+    ("Fwd Header Length", "long"),
+    ("Bwd Header Length", "long"),
+    ("Fwd Packets/s", "double"),
+    ("Bwd Packets/s", "double"),
+    ("Min Packet Length", "long"),
+    ("Max Packet Length", "long"),
+    ("Packet Length Mean", "double"),
+    ("Packet Length Std", "double"),
+    ("Packet Length Variance", "double"),
+    ("FIN Flag Count", "long"),
+    ("SYN Flag Count", "long"),
+    ("PSH Flag Count", "long"),
+    ("ACK Flag Count", "long"),
+    ("URG Flag Count", "long"),
+    ("Down/Up Ratio", "long"),
+    ("Average Packet Size", "double"),
+    ("Avg Fwd Segment Size", "double"),
+    ("Avg Bwd Segment Size", "double"),
+    ("Fwd Header Length.1", "long"),
+    ("Subflow Fwd Packets", "long"),
+    ("Subflow Fwd Bytes", "long"),
+    ("Subflow Bwd Packets", "long"),
+    ("Subflow Bwd Bytes", "long"),
+    ("Init_Win_bytes_forward", "long"),
+    ("Init_Win_bytes_backward", "long"),
+    ("act_data_pkt_fwd", "long"),
+    ("min_seg_size_forward", "long"),
+    ("Active Mean", "double"),
+    ("Active Std", "double"),
+    ("Active Max", "long"),
+    ("Active Min", "long"),
+    ("Idle Mean", "double"),
+    ("Idle Std", "double"),
+    ("Idle Max", "long"),
+    ("Idle Min", "long"),
+)
 
 # Columns found constant in the training capture and left out of the contract.
 CONSTANT_FEATURES = (
@@ -157,8 +157,7 @@ class FlowContract:
 
 
 def flow_contract() -> FlowContract:
-    pairs = [line.rsplit(": ", 1) for line in FLOW_FEATURES_TEXT.strip().splitlines()]
-    return FlowContract(tuple(p[0] for p in pairs), tuple(p[1] for p in pairs))
+    return FlowContract(tuple(n for n, _ in FLOW_FEATURES), tuple(t for _, t in FLOW_FEATURES))
 
 
 def parse_contract(text: str) -> FlowContract:

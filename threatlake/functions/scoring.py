@@ -73,6 +73,24 @@ def decision(threat_class: Column, confidence: Column, anomaly: Column, t: Thres
     )
 
 
+def decision_reason(threat_class: Column, confidence: Column, anomaly: Column, t: Thresholds = DEFAULTS) -> Column:
+    """Code of the rule that decided, and the value it compared with its threshold."""
+    name = F.coalesce(threat_class, F.lit("BENIGN"))
+    conf, odd = F.coalesce(confidence, F.lit(1.0)), F.coalesce(anomaly, F.lit(0.0))
+    attack = name != "BENIGN"
+
+    def told(code: str, value: Column, limit: float) -> Column:
+        return F.concat(F.lit(f"{code}:"), F.round(value, 4).cast("string"), F.lit(f">={limit}"))
+
+    return (
+        F.when(attack & (conf >= t.malicious), told("attack_confidence", conf, t.malicious))
+        .when(odd >= t.anomaly, told("anomaly", odd, t.anomaly))
+        .when(~attack & (conf >= t.benign), told("benign_confidence", conf, t.benign))
+        .when(attack, F.lit("attack_below_threshold"))
+        .otherwise(F.lit("benign_below_threshold"))
+    )
+
+
 def severity(decided: Column, threat_class: Column, t: Thresholds = DEFAULTS) -> Column:
     return (
         F.when(decided == "BENIGN", "INFO")
@@ -108,6 +126,21 @@ def technique_id(threat_class: Column, decided: Column, dst_port: Column) -> Col
     return F.when(F.upper(F.coalesce(decided, F.lit("BENIGN"))) != "BENIGN", mapped)
 
 
+def mapping_basis(technique: Column) -> Column:
+    """What a technique rests on: the class, the class and the port, or a class that fits none."""
+    return (
+        F.when(technique.isNull(), F.lit(None).cast("string"))
+        .when(technique == NO_MAPPING, "class_without_technique").when(technique == "T1071", "class_and_port").otherwise("class")
+    )
+
+
+def mapping_evidence(technique: Column, threat_class: Column, dst_port: Column) -> Column:
+    """The facts behind a mapping as ``name=value`` texts; NULL when nothing maps."""
+    told = F.concat(F.lit("class="), F.upper(threat_class))
+    port = F.concat(F.lit("dst_port="), dst_port.cast("string"))
+    return F.when(technique == "T1071", F.array(told, port)).when(technique.isNotNull(), F.array(told))
+
+
 def technique_confidence(technique: Column, threat_class: Column, confidence: Column) -> Column:
     conf = F.coalesce(confidence, F.lit(0.0))
     botnet = F.upper(threat_class).contains("BOTNET")

@@ -97,16 +97,14 @@ def first_by_id(alerts: DataFrame, key: str = "alert_id", order: str = "arrival_
     return alerts.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def new_alerts(stored: DataFrame, incoming: DataFrame, small_batch: bool = False) -> DataFrame:
+def new_alerts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """First arrivals whose id is not stored yet.
 
-    With ``small_batch`` the stored ids are filtered by the batch's ids first, so a large store is
-    scanned but not shuffled when the batch is small enough for Spark to broadcast.
+    The stored ids are filtered by the arriving ids first: a large store is scanned, but only matching ids
+    are shuffled further.
     """
     fresh = first_by_id(incoming)
-    taken = stored.select("alert_id")
-    if small_batch:
-        taken = taken.join(fresh.select("alert_id"), "alert_id", "left_semi").distinct()
+    taken = stored.select("alert_id").join(fresh.select("alert_id"), "alert_id", "left_semi").distinct()
     return fresh.join(taken, "alert_id", "left_anti")
 
 
@@ -150,11 +148,6 @@ def threat_histogram(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy(F.coalesce("threat", F.lit("Unknown")).alias("threat")).agg(F.count("*").alias("n"))
 
 
-def histogram_map(histogram: DataFrame) -> DataFrame:
-    """The histogram as one row; for threat names, a closed list."""
-    return histogram.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("threat", "n")))).alias("threat_types"))
-
-
 def worklist(alerts: DataFrame, analyses: DataFrame, refresh: bool = False) -> DataFrame:
     """Alerts still to analyse; ``refresh`` takes all again."""
     if refresh:

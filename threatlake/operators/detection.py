@@ -62,9 +62,8 @@ def fuse(df: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def decide(df: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    return df.withColumn(
-        "decision", scoring.decision(F.col("threat_class"), F.col("confidence"), F.col("anomaly_score"), t)
-    )
+    verdict = F.col("threat_class"), F.col("confidence"), F.col("anomaly_score")
+    return df.withColumns({"decision": scoring.decision(*verdict, t), "decision_reason": scoring.decision_reason(*verdict, t)})
 
 
 def raise_alerts(df: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -76,44 +75,57 @@ def raise_alerts(df: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     })
 
 
-def assemble(df: DataFrame, keys: list[str], ingest_time: Column | None = None) -> DataFrame:
-    """Nested threat-event rows; ids are a hash of ``keys`` so that a rerun yields the same ids."""
+def assemble(df: DataFrame, keys: list[str], ingest_time: Column | None = None, keep: list[str] = ()) -> DataFrame:
+    """Nested threat-event rows after any ``keep`` columns; ids are a hash of ``keys`` so that a rerun yields the same ids.
+
+    ``probabilities`` is the class map of the model whose verdict stands, where the models give one.
+    """
     event_id = row_id(*[F.col(k) for k in keys])
 
     def known(name: str, dtype: str) -> Column:
         return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
+    classes = "map<string, double>"
+    m3_stands = scoring.prefers_m3(known("m3_class", "string"), known("m3_confidence", "double"), known("m4_class", "string"), DEFAULTS)
+    time = ingest_time if ingest_time is not None else known("ts", "timestamp")
     return df.select(
+        *keep,
         F.lit("success").alias("status"),
         event_id.alias("event_id"),
-        (ingest_time if ingest_time is not None else known("ts", "timestamp")).alias("timestamp"),
+        time.alias("timestamp"),
         "threat_class", "decision", "confidence", "anomaly_score",
+        F.when(m3_stands, known("m3_probabilities", classes)).otherwise(known("m4_probabilities", classes)).alias("probabilities"),
+        known("decision_reason", "string").alias("decision_reason"),
         F.struct(known("src_ip", "string").alias("src_ip"), known("src_port", "int").alias("src_port")).alias("source"),
         F.struct(known("dst_ip", "string").alias("dst_ip"), known("dst_port", "int").alias("dst_port")).alias("destination"),
         F.struct(
-            F.struct(known("m3_class", "string").alias("threat_class"), known("m3_confidence", "double").alias("confidence")).alias("m3"),
-            F.struct(known("m4_class", "string").alias("threat_class"), known("m4_confidence", "double").alias("confidence")).alias("m4"),
+            F.struct(known("m3_class", "string").alias("threat_class"), known("m3_confidence", "double").alias("confidence"),
+                     known("m3_probabilities", classes).alias("probabilities")).alias("m3"),
+            F.struct(known("m4_class", "string").alias("threat_class"), known("m4_confidence", "double").alias("confidence"),
+                     known("m4_probabilities", classes).alias("probabilities")).alias("m4"),
         ).alias("classifications"),
         F.struct(
             F.lit("forest_pair").alias("classifier"), F.lit("m3_m4_fusion").alias("model_version")
         ).alias("model"),
         F.struct(
-            row_id(F.lit("alert"), event_id).alias("alert_id"), "severity", "title", F.col("status"),
+            row_id(F.lit("alert"), event_id).alias("alert_id"), "severity", "title", F.col("status"), time.alias("created_at"),
+            "threat_class", "decision", "confidence", "anomaly_score",
         ).alias("alert"),
     )
 
 
-def repeated_connections(flows: DataFrame, connection: list[str], order: str, history: int = 3) -> DataFrame:
-    """Add ``repeated``: the connection had at least ``history`` earlier flows.
+def repeated_connections(flows: DataFrame, connection: list[str], order: list[str], history: int = 3) -> DataFrame:
+    """Add ``repeated``: the connection had at least ``history`` earlier flows in the order of the columns (time first).
 
     Only the ``history`` earliest flows per connection are needed; Spark keeps that many per key
     before the shuffle, so a hot connection sends a handful of rows. The table of those edges is
     written out, so the join back is a broadcast while it is small and a skew-split merge beyond.
     """
-    w = W.partitionBy(*connection).orderBy(order)
+    place = F.struct(*order)
+    w = W.partitionBy(*connection).orderBy(*order)
     edge = materialise(
-        flows.select(*connection, order).withColumn("__r", F.row_number().over(w)).where(F.col("__r") == history)
-        .select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(connection)], F.col(order).alias("__edge")),
+        flows.select(*dict.fromkeys([*connection, *order])).withColumn("__r", F.row_number().over(w)).where(F.col("__r") == history)
+        .select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(connection)], place.alias("__edge")),
         "edges",
     )
     match = None
@@ -121,7 +133,7 @@ def repeated_connections(flows: DataFrame, connection: list[str], order: str, hi
         same = flows[c].eqNullSafe(edge[f"__c{i}"])
         match = same if match is None else match & same
     joined = flows.join(edge, match, "left").drop(*[f"__c{i}" for i in range(len(connection))])
-    return joined.withColumn("repeated", F.coalesce(F.col(order) > F.col("__edge"), F.lit(False))).drop("__edge")
+    return joined.withColumn("repeated", F.coalesce(place > F.col("__edge"), F.lit(False))).drop("__edge")
 
 
 def _flat(prefix: str, parts: dict[str, Column]) -> dict[str, Column]:

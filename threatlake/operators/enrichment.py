@@ -60,17 +60,28 @@ def extract_iocs(events: DataFrame) -> DataFrame:
 
 
 def unique_intel(intel: DataFrame) -> DataFrame:
-    """One reputation row per indicator, the last source in name order deciding."""
+    """One whole row per indicator, the last source in name order deciding, then the other columns as text."""
     rest = [c for c in intel.columns if c not in ("ioc_type", "value")]
-    rank = F.struct(*[F.col(c).cast("string") for c in ("source", "reputation") if c in rest])
-    return intel.groupBy("ioc_type", "value").agg(*[F.max_by(c, rank).alias(c) for c in rest])
+    first = [c for c in ("source", "reputation") if c in rest]
+    rank = F.struct(*[F.col(c).cast("string").alias(f"r{i}") for i, c in enumerate([*first, *[c for c in rest if c not in first]])])
+    best = intel.groupBy("ioc_type", "value").agg(F.max_by(F.struct(*rest), rank).alias("__row"))
+    return best.select("ioc_type", "value", *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
+#: what a reputation row says of an indicator besides its reputation and confidence
+ATTRIBUTES = ("source", "categories", "threat_actor", "hash_type")
 
 
 def enrich_iocs(iocs: DataFrame, intel: DataFrame) -> DataFrame:
-    """Reputation of each indicator: found, not_found, or not_applicable for ports."""
-    side = intel.select(
+    """Reputation of each indicator: found, not_found, or not_applicable for ports.
+
+    The attributes of the reputation row (source, categories, actor, hash type) come along as ``intel``.
+    """
+    known = unique_intel(intel)
+    side = known.select(
         F.col("ioc_type").alias("__type"), F.col("value").alias("__value"), "reputation",
         F.col("confidence").alias("intel_confidence"),
+        F.struct(*[(F.col(c) if c in known.columns else F.lit(None).cast("string")).alias(c) for c in ATTRIBUTES]).alias("intel"),
     )
     joined = iocs.join(side, (iocs["ioc_type"] == side["__type"]) & (iocs["value"] == side["__value"]), "left")
     hit = F.col("__type").isNotNull()
@@ -81,11 +92,17 @@ def enrich_iocs(iocs: DataFrame, intel: DataFrame) -> DataFrame:
     }).drop("__type", "__value")
 
 
+def _of_kinds(intel: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """One row per value among indicators of the kinds, so that a lookup never multiplies rows."""
+    wanted = intel.where(F.col("ioc_type").isin(*kinds))
+    return unique_intel(wanted.withColumn("ioc_type", F.lit(kinds[0])))
+
+
 def lookup(values: DataFrame, intel: DataFrame, column: str = "value") -> DataFrame:
     """Untyped lookup: the reputation as an address, else as a domain."""
 
     def side(kinds: tuple[str, ...], tag: str) -> DataFrame:
-        return intel.where(F.col("ioc_type").isin(*kinds)).select(
+        return _of_kinds(intel, kinds).select(
             F.col("value").alias(f"__{tag}"), F.col("reputation").alias(f"__{tag}_rep"),
             F.col("confidence").alias(f"__{tag}_conf"),
         )
@@ -116,7 +133,7 @@ def with_reputation(events: DataFrame, intel: DataFrame) -> DataFrame:
             continue
         if slot in ("hash",) and "file_hash" not in events.columns:
             continue
-        side = intel.where(F.col("ioc_type").isin(*types)).select(
+        side = _of_kinds(intel, types).select(
             F.col("value").alias(f"__k_{slot}"),
             F.struct(F.col("reputation"), F.col("confidence")).alias(f"__i_{slot}"),
         )

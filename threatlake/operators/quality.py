@@ -11,7 +11,6 @@ from threatlake.contracts import (
 )
 from threatlake.functions.lists import listed
 from threatlake.operators.ranking import percentiles, ranked
-from threatlake.session import materialise
 
 
 def clean_headers(df: DataFrame, to_snake: bool = True) -> DataFrame:
@@ -244,13 +243,14 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``. Default: seeded hash of the key, no shuffle, same expected share in every class.
 
-    ``exact`` cuts each class at the exact row count instead (one global sort).
+    ``exact`` cuts each class at the exact row count instead (one global sort). Rows without a label
+    are a class of their own.
     """
     shuffled = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
     if exact:
         placed = ranked(shuffled, [label], ["__h", key], "__p")
-        totals = materialise(df.groupBy(label).agg(F.count("*").alias("__n")), "totals")
-        shuffled = placed.join(totals, label)
+        totals = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+        shuffled = placed.join(totals, placed[label].eqNullSafe(totals["__label"])).drop("__label")
         share = (F.col("__p") - 1) / F.col("__n")
     else:
         share = F.pmod(F.col("__h"), F.lit(1_000_000)) / 1_000_000

@@ -65,19 +65,22 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str,
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
-    """Exact linear-interpolation percentiles per group, one row per (group, probability).
+    """Exact linear-interpolation percentiles per group, one row per (group, probability) with its ``place`` in the list.
 
     Equal values are counted first, so neither a hot group nor a hot value reaches one task whole.
     """
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counted = clean.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    placed = materialise(running_total(counted, keys, [value], "__n", "__from"), "values")
-    totals = materialise(placed.groupBy(*keys).agg(F.sum("__n").alias("__total")), "totals")
-    side = totals.select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(keys)], "__total")
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & placed[k].eqNullSafe(side[f"__t{i}"])
-    rows = placed.join(side, match).drop(*[f"__t{i}" for i in range(len(keys))])
+    whole = F.lit(0).alias("__whole")  # without keys, all rows are one group with a key
+    by = [*keys, "__whole"]
+    counted = clean.groupBy(*keys, whole, value).agg(F.count("*").alias("__n"))
+    placed = running_total(counted, by, [value], "__n", "__from")
+    totals = counted.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    side = totals.select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(by)], "__total")
+    match = None
+    for i, k in enumerate(by):
+        same = placed[k].eqNullSafe(side[f"__t{i}"])
+        match = same if match is None else match & same
+    rows = placed.join(side, match).drop("__whole", *[f"__t{i}" for i in range(len(by))])
 
     def at(index: Column) -> Column:
         inside = (F.col("__from") <= index) & (index < F.col("__from") + F.col("__n"))
@@ -92,23 +95,26 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probabilities: list[
     for i, p in enumerate(probabilities):
         place = F.lit(float(p)) * (F.col("n") - 1)
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        level = low + (place - F.floor(place)) * (high - low)
-        cells.append(F.struct(F.lit(float(p)).alias("probability"), level.alias("value")))
+        # equal ends need no step between them, which infinite ones could not take
+        level = F.when(low == high, low).otherwise(low + (place - F.floor(place)) * (high - low))
+        cells.append(F.struct(F.lit(i).alias("place"), F.lit(float(p)).alias("probability"), level.alias("value")))
     return found.select(*keys, "n", F.inline(F.array(*cells)))
 
 
 def percentile_summary(
     df: DataFrame, keys: list[str], value: str, ts: str, probabilities: tuple[float, ...] = (0.5, 0.95, 0.99)
 ) -> DataFrame:
-    """One row per group: n, ``p50``-style columns and rows per day between its first and last time."""
-    found = percentiles(df, keys, value, list(probabilities)).withColumn(
-        "__name", F.concat(F.lit("p"), F.round(F.col("probability") * 100, 0).cast("int"))
-    )
-    names = [f"p{round(p * 100)}" for p in probabilities]
-    wide = found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("__name") == n, F.col("value"))).alias(n) for n in names])
+    """One row per group: n, ``p50``-style columns (``p99_5`` for 0.995) and rows per day between its first and last time."""
+    found = percentiles(df, keys, value, list(probabilities))
+    names = [f"p{p * 100:.10g}".replace(".", "_") for p in probabilities]
+    wide = found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("place") == i, F.col("value"))).alias(c) for i, c in enumerate(names)])
     span = df.groupBy(*keys).agg(
         F.count("*").alias("__rows"),
         F.timestamp_diff("SECOND", F.min(ts), F.max(ts)).alias("__seconds"),
     )
     rate = F.when(F.col("__seconds") > 0, F.col("__rows") * 86400.0 / F.col("__seconds"))
-    return wide.join(span.withColumn("per_day", rate).drop("__rows", "__seconds"), keys)
+    side = span.select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], rate.alias("per_day"))
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & wide[k].eqNullSafe(side[f"__s{i}"])
+    return wide.join(side, match).drop(*[f"__s{i}" for i in range(len(keys))])

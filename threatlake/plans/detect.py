@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from threatlake.functions.scoring import DEFAULTS, Thresholds
-from threatlake.operators.detection import decide, fuse, raise_alerts
+from threatlake.operators import models
+from threatlake.operators.detection import assemble, decide, fuse, raise_alerts
+from threatlake.operators.isolation import IsolationForest
 from threatlake.operators.quality import validate_flows
 
 
@@ -29,6 +34,38 @@ def detect(predicted: DataFrame, features: list[str], t: Thresholds = DEFAULTS)
     })
 
 
+@dataclass(frozen=True)
+class Detectors:
+    """Fitted models and the features they read; an absent model gives its neutral verdict."""
+
+    features: list[str]
+    m4: PipelineModel
+    m3: PipelineModel | None = None
+    anomaly: IsolationForest | None = None
+
+
+def detect_flows(flows: DataFrame, detectors: Detectors, keys: list[str], t: Thresholds = DEFAULTS) -> DataFrame:
+    """Raw flows -> assembled events and errors, in one narrow pass over a batch or a stream.
+
+    Contract check, both forests, anomaly score, fusion, decision, alert, event. Every row comes out once:
+    ``status`` success with its ``event``, or error with its ``report`` and no verdict. The models see the
+    numbers of broken rows too (their faults read as 0), whose verdicts are then dropped.
+    """
+    checked = validate_flows(flows, detectors.features)
+    seen = models.predict(checked, detectors.features, detectors.m4, detectors.m3, detectors.anomaly)
+    judged = classify(seen, t)
+    events = assemble(judged, keys, keep=[*keys, "is_valid", "report"])
+    body = F.struct(*[c for c in events.columns if c not in {*keys, "is_valid", "report", "status"}])
+    good = F.col("is_valid")
+    return events.select(
+        *keys,
+        F.when(good, "success").otherwise("error").alias("status"),
+        F.when(~good, "FEATURE_SCHEMA_MISMATCH").alias("error_type"),
+        F.when(~good, F.col("report")).alias("report"),
+        F.when(good, body).alias("event"),
+    )
+
+
 def route(mixed: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """Rows that already have a class keep it; the others get theirs from the model verdicts."""
     known = mixed.where(F.col("threat_class").isNotNull())

@@ -20,6 +20,8 @@ def build_session(app: str = "threatlake", master: str | None = None, **conf: st
         .config("spark.ui.enabled", "false")
         # no call-site capture per column expression: plans build in half the time
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # keyed state on disk, not in the executors' heap
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         # scoring projections compile to long methods; let the JIT compile those too
         .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")

@@ -26,7 +26,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = ALERT_SCHEM
 def read_json_list(spark: SparkSession, path: str, schema: T.StructType = ALERT_SCHEMA) -> DataFrame:
     """Alert files that each hold one JSON array; elements that are no objects are skipped.
 
-    A file that is no array gives no rows. The place in the array fills a missing ``arrival_seq``.
+    A file is one cell and one task, so at most 2 GB; JSON lines (``read_json``) are the form for
+    large tables. A file that is no array gives no rows. The place in the array fills a missing ``arrival_seq``.
     """
     texts = spark.read.text(path, wholetext=True)
     items = texts.select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "item"))

@@ -9,13 +9,13 @@ from threatlake.functions.network import ip_kind
 from threatlake.operators.enrichment import unique_intel
 
 _ENTRY = (
-    "reputation string, confidence double, source string, categories array<string>, "
-    "threat_actor string, type string"
+    "struct<reputation: string, confidence: double, source: string, categories: array<string>, "
+    "threat_actor: string, type: string>"
 )
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole documents; an absent path gives none."""
+    """Whole documents (a document is one cell, so at most 2 GB); an absent path gives none."""
     folder, _, name = path.rstrip("/").rpartition("/")
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder or "/")
@@ -40,13 +40,13 @@ def read_intel(spark: SparkSession, ips: str | None = None, domains: str | None
     """One reputation table from up to three documents; missing or unreadable ones add no rows."""
     parts = []
     if ips:
-        parts.append(_rows(_entries(_documents(spark, ips), f"map<string, struct<{_struct()}>>"),
+        parts.append(_rows(_entries(_documents(spark, ips), f"map<string, {_ENTRY}>"),
                            F.coalesce(ip_kind(F.col("key")), F.lit("IPv4"))))
     if domains:
-        parts.append(_rows(_entries(_documents(spark, domains), f"map<string, struct<{_struct()}>>"), F.lit("Domain")))
+        parts.append(_rows(_entries(_documents(spark, domains), f"map<string, {_ENTRY}>"), F.lit("Domain")))
     if hashes:
         nested = _documents(spark, hashes).select(
-            F.explode(F.from_json("text", f"struct<known_hashes: map<string, struct<{_struct()}>>>")["known_hashes"]).alias("key", "entry")
+            F.explode(F.from_json("text", f"struct<known_hashes: map<string, {_ENTRY}>>")["known_hashes"]).alias("key", "entry")
         )
         parts.append(_rows(nested, F.lit("Hash")))
     if not parts:
@@ -57,14 +57,10 @@ def read_intel(spark: SparkSession, ips: str | None = None, domains: str | None
     return unique_intel(out).select(*INTEL_SCHEMA.fieldNames())
 
 
-def _struct() -> str:
-    return ", ".join(f"{p.split(' ')[0]}: {p.split(' ')[1]}" for p in _ENTRY.split(", "))
-
-
 def conform(df: DataFrame) -> DataFrame:
-    """Any provider's table as a reputation table: missing optional columns become NULL."""
+    """Any provider's table as a reputation table, one row per indicator: missing optional columns become NULL."""
     columns = []
     for f in INTEL_SCHEMA.fields:
         have = f.name in df.columns
         columns.append((F.col(f.name) if have else F.lit(None)).cast(f.dataType).alias(f.name))
-    return df.select(*columns)
+    return unique_intel(df.select(*columns)).select(*INTEL_SCHEMA.fieldNames())

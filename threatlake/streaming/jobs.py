@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from threatlake.functions.scoring import DEFAULTS, Thresholds
-from threatlake.operators.alerts import new_alerts, validate_bodies
+from threatlake.operators.alerts import new_alerts
 from threatlake.operators.incidents import incidents, investigated
 from threatlake.plans.desk import accept
-from threatlake.plans.detect import detect
+from threatlake.plans.detect import Detectors, detect, detect_flows
+from threatlake.session import Scratch
 
 
 class QualityCounters(StreamingQueryListener):
@@ -64,6 +65,12 @@ def detect_stream(
     return _start(out.writeStream.format("parquet").partitionBy("status").option("path", path), checkpoint, available_now)
 
 
+def flow_stream(flows: DataFrame, detectors: Detectors, keys: list[str], path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Raw flows -> assembled events and errors (``detect_flows``), partitioned by ``status``."""
+    out = detect_flows(flows, detectors, keys)
+    return _start(out.writeStream.format("parquet").partitionBy("status").option("path", path), checkpoint, available_now)
+
+
 def alert_stream(bodies: DataFrame, table: str, rejects: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Ingest alert documents: check, refuse stored ids, append; bad documents go to ``rejects``.
 
@@ -73,11 +80,12 @@ def alert_stream(bodies: DataFrame, table: str, rejects: str, checkpoint: str, a
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        good, bad = accept(batch)
-        stored = spark.read.parquet(table)
-        fresh = new_alerts(stored, good, small_batch=True).select(*stored.columns)
-        fresh.write.mode("append").parquet(table)
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        with Scratch(spark) as work:
+            good, bad = accept(batch, work=work)
+            stored = spark.read.parquet(table)
+            fresh = new_alerts(stored, good).select(*stored.columns)
+            fresh.write.mode("append").parquet(table)
+            bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
     return _start(bodies.writeStream.foreachBatch(ingest), checkpoint, available_now)
 
@@ -101,11 +109,22 @@ def incident_stream(events: DataFrame, intel: DataFrame, table: str, checkpoint:
     return _start(out.writeStream.outputMode("update").foreachBatch(publish), checkpoint, available_now)
 
 
-def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Current incident rows from the snapshot table."""
-    rest = [c for c in snapshots.columns if c not in ("incident_id", "batch_id")]
+def latest_snapshots(snapshots: DataFrame, keys: tuple[str, ...] = ("incident_id",)) -> DataFrame:
+    """Current rows from the snapshot table: the last one written per key."""
+    rest = [c for c in snapshots.columns if c not in (*keys, "batch_id")]
     newest = F.max_by(F.struct(*rest), "batch_id").alias("s")
-    return snapshots.groupBy("incident_id").agg(newest).select("incident_id", "s.*")
+    return snapshots.groupBy(*keys).agg(newest).select(*keys, "s.*")
+
+
+def compact_snapshots(spark: SparkSession, table: str, compacted: str, keys: tuple[str, ...] = ("incident_id",)) -> DataFrame:
+    """Write the current rows to ``compacted``, where they replace all snapshots up to their newest batch.
+
+    Readers union ``compacted`` with the later ``batch_id`` folders of ``table``; the older ones may go.
+    """
+    snapshots = spark.read.parquet(table)
+    upto = snapshots.agg(F.max("batch_id")).first()[0]
+    latest_snapshots(snapshots.where(F.col("batch_id") <= upto), keys).withColumn("batch_id", F.lit(upto)).write.mode("overwrite").parquet(compacted)
+    return spark.read.parquet(compacted)
 
 
 def windowed(events: DataFrame, size: str = "5 minutes", slide: str | None = None, lateness: str | None = "10 minutes") -> DataFrame:
@@ -132,12 +151,18 @@ def sessions(events: DataFrame, gap: str = "5 minutes", lateness: str = "10 minu
     return counted.select("src_ip", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "event_count")
 
 
+def window_updates(counted: DataFrame, table: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Every changed window per micro-batch; ``latest_snapshots`` of the table is the count over all rows
+    that came in time, open windows included."""
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    return _start(counted.writeStream.outputMode("update").foreachBatch(publish), checkpoint, available_now)
+
+
 def window_stream(counted: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Closed windows into a table."""
     writer = counted.writeStream.outputMode("append").format("parquet").option("path", path)
     return _start(writer, checkpoint, available_now)
 
-
-def check_stream(bodies: DataFrame) -> DataFrame:
-    """Contract check of a document stream."""
-    return validate_bodies(bodies)
