@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Lower-cases A-Z and blanks every byte that is not a letter, a digit or part of a non-ASCII character.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Texts per Arrow step; a step also ends at this many bytes.
-STEP_ROWS, STEP_BYTES = 2048, 16 << 20
+STEP_ROWS, STEP_BYTES = 1024, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +31,16 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their task, and idle ones should be small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a step holds few megabytes of text, or one long text."""
+    """The batches cut so that a step holds few megabytes of text, or one long text. ``text``: its column."""
     for batch in batches:
         column, start, n, size = batch.column(text), 0, batch.num_rows, 0
         if column.nbytes <= STEP_BYTES and n <= STEP_ROWS:
@@ -44,6 +53,9 @@ def steps(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBat
                 start, size = i + 1, 0
         if start < n:
             yield batch.slice(start)
+        column = None
+    batch = column = None
+    give_back()
 
 
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index per training shard is searched for every benchmark window.
 
-Tasks index their share of the corpus shard by shard (about a million words each) and search the test
+Tasks index their share of the corpus shard by shard (about a quarter of a million words each) and search the test
 phrases in it: backward search through wavelet ranks, occurrences by sampled suffix positions, spans
 merged per document. The corpus is read once and never shuffled. The test set is a query set: it goes to
 the tasks in blocks of bounded size, one pass over the corpus per block.
@@ -22,7 +22,7 @@ from threatlake.session import Scratch
 
 WINDOW = 10
 #: Words indexed together, and bytes of benchmark text per block.
-SHARD_WORDS, BLOCK_BYTES = 1 << 20, 1 << 20
+SHARD_WORDS, BLOCK_BYTES = 1 << 18, 1 << 20
 
 
 @dataclass
@@ -161,7 +161,7 @@ def _hits(rows: DataFrame, windows: Windows, only_hit: bool) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for step in (s for b in batches for s in steps(iter([b]), 1)):
+        for step in steps(batches, 1):
             found = search(step.column(1).to_pylist(), windows)
             rows = [i for i, f in enumerate(found) if f[1] or not only_hit]
             found = [found[i] for i in rows]
@@ -226,7 +226,7 @@ def decontaminate(
     for windows in blocks(benchmark, item_col, item_text_col, width):
 
         def run(batches, windows=windows):
-            for step in (s for b in batches for s in steps(iter([b]), at)):
+            for step in steps(batches, at):
                 documents = step.column(at).to_pylist()
                 found = search(documents, windows)
                 if any(f[1] for f in found):

@@ -114,7 +114,7 @@ def idf(docs: DataFrame, templates: tuple[Template, ...], id_col: str = "doc_id"
     def count(batches):
         seen, n = Counter(), 0
         wanted = set(vocabulary)
-        for step in (s for b in batches for s in steps(iter([b]), 1)):
+        for step in steps(batches, 1):
             for text in step.column(1).to_pylist():
                 seen.update(wanted.intersection(plain_words(text)))
                 n += 1

@@ -20,12 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threatlake.llm.common import steps, texts
+from threatlake.llm.common import give_back, steps, texts
 from threatlake.session import Scratch
 
 #: Lines of fewer words are only compared for equality: one word of few changes what they say.
@@ -86,7 +85,7 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, th, line (from 0), h1, h2 (128-bit hash of the words), keys; one row per line that has a word."""
 
     def run(batches):
-        for step in (s for b in batches for s in steps(iter([b]), 1)):
+        for step in steps(batches, 1):
             at, line_no, h1, h2, keys = [], [], [], [], []
             for row, text in enumerate(step.column(1).to_pylist()):
                 if not text:
@@ -133,7 +132,7 @@ def _candidates(firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     joined = rows.join(wanted, "__key").select("wanted", "text")
 
     def run(batches):
-        for step in (s for b in batches for s in steps(iter([b]), 1)):
+        for step in steps(batches, 1):
             lines, flat = [], step.column(0).flatten()
             for wants, text in zip(step.column(0).to_pylist(), step.column(1).to_pylist(), strict=True):
                 parts = text.split("\n")
@@ -149,7 +148,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     """place, key, at: keys of the line without position ``at``; at = -1: of the whole line."""
 
     def run(batches):
-        for step in (s for b in batches for s in steps(iter([b]), 1)):
+        for step in steps(batches, 1):
             rows, keys, ats, held = [], [], [], 0
             for row, text in enumerate(step.column(1).to_pylist()):
                 found = deletion_keys(line_words(text))
@@ -173,8 +172,20 @@ def _variants(lines: DataFrame) -> DataFrame:
     return lines.select("place", "text").mapInArrow(run, f"place {place}, key bigint, at int")
 
 
-def _close(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within_one_edit(line_words(x), line_words(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+#: Rows a column function turns into Python objects at a time.
+_PART = 512
+
+
+def _by_parts(make, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``make`` on the rows of the columns, a part at a time."""
+    made = [pa.array([make(*row) for row in zip(*(c.slice(at, _PART).to_pylist() for c in columns), strict=True)], kind)
+            for at in range(0, len(columns[0]), _PART)]
+    give_back()
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
+def _close(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _by_parts(lambda x, y: within_one_edit(line_words(x), line_words(y)), pa.bool_(), a, b)
 
 
 def _near(lines: DataFrame, work: Scratch) -> DataFrame:
@@ -187,7 +198,7 @@ def _near(lines: DataFrame, work: Scratch) -> DataFrame:
     resized = longer.select(F.greatest("place", "short").alias("place"), F.least("place", "short").alias("best"))
     best = replaced.union(resized).distinct()
     one, two = lines.select("place", "h1", "h2", "text"), lines.select(F.col("place").alias("best"), F.col("text").alias("earlier"))
-    close = F.pandas_udf(_close, "boolean")
+    close = F.arrow_udf(_close, "boolean")
     checked = best.join(one, "place").join(two, "best").where(close("text", "earlier"))
     return checked.select("h1", "h2").distinct()
 
@@ -213,15 +224,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.where("near OR NOT earliest").select("id", "th", "line", F.expr("near AND earliest").alias("near"))
 
 
-def _without(text: pd.Series, drop: pd.Series) -> pd.Series:
-    out = []
-    for t, d in zip(text, drop, strict=True):
-        if d is None or t is None:
-            out.append(t)
-        else:
-            gone = set(d.tolist())
-            out.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]))
-    return pd.Series(out, dtype=object)
+def _cut(text: str | None, drop: list[int] | None) -> str | None:
+    if text is None or drop is None:
+        return text
+    gone = set(drop)
+    return "\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone])
+
+
+def _without(text: pa.Array, drop: pa.Array) -> pa.Array:
+    return _by_parts(_cut, pa.string(), text, drop)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -238,7 +249,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.withColumn("__key", _key(docs[id_col], F.xxhash64(docs[text_col])))
     joined = marked.join(per_doc, "__key", "left")
     hit = F.col("__drop").isNotNull()
-    cut = F.pandas_udf(_without, "string")(F.when(hit, F.col(text_col)), F.col("__drop"))
+    cut = F.arrow_udf(_without, "string")(F.when(hit, F.col(text_col)), F.col("__drop"))
     return joined.withColumns({
         text_col: F.when(hit, cut).otherwise(F.col(text_col)),
         "__near": F.coalesce("__near", F.lit(0)), "__exact": F.coalesce("__exact", F.lit(0)),

@@ -163,7 +163,7 @@ def pieces(
     def run(batches):
         end, slice_no, seen = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), defaultdict(int)
         ids_of = encoder(tokenizer).ids
-        for step in (s for b in batches for s in steps(iter([b]), 1)):
+        for step in steps(batches, 1):
             out: dict[str, list] = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32", "number", "ids")}
             for row, text in enumerate(step.column(1).to_pylist()):
                 ids = ids_of(text) + end

@@ -20,7 +20,7 @@ from threatlake.session import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks kept in each of two generations, and the longest chunk that is kept.
-KEPT, LONGEST = 200_000, 64
+KEPT, LONGEST = 120_000, 64
 #: Texts that a tokenizer must encode like their parts if chunks are to be encoded alone.
 _PROBES = (("Word, and words!", ("word", ",", "and", "words", "!")), (" a\n\tGr\u00f6\u00dfe \u00c9t\u00e9.", ("a", "gr\u00f6\u00dfe", "\u00e9t\u00e9", ".")))
 #: A mark that stands alone between a letter or digit and a blank: it is a part of its own either way.
