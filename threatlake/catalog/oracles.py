@@ -394,6 +394,18 @@ FROM inc JOIN p ON inc.source_entity = p.src_ip""",
   concat(threat_class, ' (', decision, ') at ', ts, ', confidence ', confidence, ', anomaly ', anomaly_score) AS evidence FROM s""",
     "stream_windows": f"""SELECT src_ip, time_bucket(INTERVAL '5 minutes', ts) AS window_start, time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end,
   count(*) AS event_count FROM ({EVENTS}) e GROUP BY 1, 2, 3""",
+    "stream_late": f"""SELECT src_ip, time_bucket(INTERVAL '5 minutes', ts) AS window_start, time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end,
+  count(*) AS event_count FROM ({EVENTS}) e GROUP BY 1, 2, 3""",
+    "stream_sessions": f"""WITH e AS ({EVENTS}),
+b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY src_ip ORDER BY ts) <= INTERVAL '5 minutes' THEN 0 ELSE 1 END AS brk FROM e),
+n AS (SELECT *, sum(brk) OVER (PARTITION BY src_ip ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM b)
+SELECT src_ip, min(ts) AS session_start, max(ts) + INTERVAL '5 minutes' AS session_end, count(*) AS event_count FROM n GROUP BY src_ip, no""",
+    **{q: f"WITH {APPEND} SELECT alert_id, arrival_seq, severity FROM st" for q in ("alert_feed", "reset_and_seed")},
+    "intel_documents": f"""SELECT 'Domain' AS ioc_type, domain AS value, CASE WHEN min(page_id) % 3 = 0 THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END AS reputation,
+  min(page_id) % 100 / 100.0::DOUBLE AS confidence, 'pages' AS source FROM ({DOMAINS}) d GROUP BY domain""",
+    "conform_intel": f"""SELECT 'Domain' AS ioc_type, domain AS value, 'SUSPICIOUS' AS reputation, max(page_id) % 50 / 50.0::DOUBLE AS confidence,
+  concat('feed-', lpad(CAST(max(page_id) AS VARCHAR), 6, '0')) AS source, 'none' AS threat_actor FROM ({DOMAINS}) d GROUP BY domain""",
+    "model_reload": f"WITH {_SPLIT} SELECT split, count(*) AS n, 0 AS other, true AS none_found FROM s GROUP BY 1",
     "class_weights": f"""WITH f AS (SELECT {_TARGET} AS target FROM ({FLOWS}) x WHERE label IS NOT NULL),
 c AS (SELECT target, count(*) AS n FROM f GROUP BY 1)
 SELECT target, n, round(sum(n) OVER () * 1.0::DOUBLE / (count(*) OVER () * n), 6) AS weight FROM c""",

@@ -15,7 +15,7 @@ from threatlake.operators import (
 )
 from threatlake.plans import desk as desk_plan, detect as detect_plan
 from threatlake.session import materialise, scratch_path
-from threatlake.sources import alerts as alert_source, flows as flow_source
+from threatlake.sources import alerts as alert_source, flows as flow_source, intel as intel_source
 from threatlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,6 +629,87 @@ def stream_windows(spark, sf):
     return jobs.latest_snapshots(spark.read.parquet(out), ("src_ip", "window_start", "window_end"))
 
 
+@query
+def stream_sessions(spark, sf):
+    """All sessions of the stream, open ones included."""
+    out, mark = scratch_path(spark, "sessions"), scratch_path(spark, "mark")
+    jobs.session_snapshots(jobs.sessions(_stream(spark, sf, "events", "threat_events")), out, mark, available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("src_ip", "session_start", "session_end", "event_count")
+
+
+@query
+def stream_late(spark, sf):
+    """Three files, each reaching back behind the one before: without a watermark late rows count."""
+    events = _events(spark, sf)
+    drop, out, mark = (scratch_path(spark, p) for p in ("late", "late-windows", "mark"))
+    for part in range(3):
+        events.where(F.col("arrival_seq") % 3 == part).write.mode("append").parquet(drop)
+    inbox = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(drop)
+    jobs.window_updates(jobs.windowed(inbox, lateness=None), out, mark, available_now=True).awaitTermination()
+    return jobs.latest_snapshots(spark.read.parquet(out), ("src_ip", "window_start", "window_end"))
+
+
+@query
+def alert_feed(spark, sf):
+    """A consumer of the stored alerts sees each once."""
+    stored, _ = _stored_and_incoming(spark, sf)
+    home, seen, mark = (scratch_path(spark, p) for p in ("feed", "seen", "mark"))
+    alert_source.reset_table(stored, home)
+    deliver = lambda batch, number: batch.write.mode("overwrite").parquet(f"{seen}/batch={number}")
+    jobs.alert_feed(alert_source.stream(spark, home, stored.schema), deliver, mark, available_now=True).awaitTermination()
+    return spark.read.parquet(seen).select("alert_id", "arrival_seq", "severity")
+
+
+@query
+def reset_and_seed(spark, sf):
+    """An emptied table takes the seed once: seeding again, with other rows, changes nothing."""
+    stored, incoming = _stored_and_incoming(spark, sf)
+    home = scratch_path(spark, "seeded")
+    alert_source.reset_table(stored.where("false"), home)
+    alert_source.seed_if_empty(stored, home)
+    alert_source.seed_if_empty(incoming, home)
+    return spark.read.parquet(home).select("alert_id", "arrival_seq", "severity")
+
+
+@query
+def intel_documents(spark, sf):
+    """Reputation documents of about 500 domains each, written as JSON files and read back as one table."""
+    names = load(spark, sf, "domains").groupBy("domain").agg(F.min("page_id").alias("page_id"))
+    files = names.count() // 500 + 1
+    entry = F.struct(
+        F.when(F.col("page_id") % 3 == 0, "MALICIOUS").otherwise("SUSPICIOUS").alias("reputation"),
+        (F.col("page_id") % 100 / 100).alias("confidence"), F.lit("pages").alias("source"),
+    )
+    keyed = names.select(F.pmod(F.xxhash64("domain"), F.lit(files)).alias("part"), F.struct("domain", entry.alias("entry")).alias("pair"))
+    docs = keyed.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list("pair"))).alias("value"))
+    path = scratch_path(spark, "intel")
+    docs.write.partitionBy("part").text(path)
+    return intel_source.read_intel(spark, domains=f"{path}/*.txt").select("ioc_type", "value", "reputation", "confidence", "source")
+
+
+@query
+def conform_intel(spark, sf):
+    """Another provider's table, with repeated indicators and columns of its own."""
+    rows = load(spark, sf, "domains").select(
+        F.lit("Domain").alias("ioc_type"), F.col("domain").alias("value"), F.lit("SUSPICIOUS").alias("reputation"),
+        (F.col("page_id") % 50 / 50).alias("confidence"), F.format_string("feed-%06d", "page_id").alias("source"), F.lit(1).alias("score"))
+    return intel_source.conform(rows).select("ioc_type", "value", "reputation", "confidence", "source", F.coalesce("threat_actor", F.lit("none")).alias("threat_actor"))
+
+
+@query
+def model_reload(spark, sf):
+    """A saved model read back judges every row as before; a missing one is None."""
+    rows, found = fitted(spark, sf)
+    path = scratch_path(spark, "model")
+    models.save(found.m4, path)
+    again = models.load(spark, path)
+    one = models.apply_forest(rows.select("flow_id", "split", *FEATURES), found.m4, FEATURES, "m4")
+    two = models.apply_forest(one.drop("m4_probabilities").withColumnsRenamed({"m4_class": "class_1", "m4_confidence": "conf_1"}), again, FEATURES, "m4")
+    other = (F.col("class_1") != F.col("m4_class")) | (F.col("conf_1") != F.col("m4_confidence"))
+    none = models.load(spark, f"{path}-none") is None
+    return two.groupBy("split").agg(F.count("*").alias("n"), F.count_if(other).alias("other")).withColumn("none_found", F.lit(none))
+
+
 @query
 def window_counts(spark, sf):
     rows = jobs.windowed(_events(spark, sf))

@@ -161,6 +161,19 @@ def window_updates(counted: DataFrame, table: str, checkpoint: str, available_no
     return _start(counted.writeStream.outputMode("update").foreachBatch(publish), checkpoint, available_now)
 
 
+def session_snapshots(counted: DataFrame, table: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """All sessions so far, open ones included, replacing the table with every micro-batch.
+
+    Sessions merge as rows arrive, so their current rows can't be told by a key: the whole result is
+    written. For a feed of finished sessions use ``window_stream``.
+    """
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
+
+    return _start(counted.writeStream.outputMode("complete").foreachBatch(publish), checkpoint, available_now)
+
+
 def window_stream(counted: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Closed windows into a table."""
     writer = counted.writeStream.outputMode("append").format("parquet").option("path", path)
