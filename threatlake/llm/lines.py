@@ -10,8 +10,8 @@ So a line emits hashed keys of its words without each position, and of all its w
 In a group of one key and position all lines are within one edit of each other, so the earliest is
 each one's partner and no pairs are listed. Every partnership is checked on the words.
 
-Before that, lines that can't have a partner are set aside without loss: of two lines one edit apart, one
-keeps either its first or its second half, so a line none of whose half keys occurs in a different line
+Before that, lines that can't have a partner are set aside without loss: one edit touches the first or the
+second half of a line, not both, so a line of which neither half's key occurs in a different line
 emits nothing. Only hashes are shuffled, but for the texts of lines that have a partner in sight.
 """
 
@@ -48,14 +48,17 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[same + (len(a) == len(b)) :] == b[same + 1 :]
 
 
-def half_keys(words: list[bytes]) -> list[int]:
-    """Keys of which two lines within one edit share at least one, as signed 64-bit numbers."""
+def half_keys(words: list[bytes], min_words: int = 0) -> list[int]:
+    """Keys of which two lines within one edit share at least one, as signed 64-bit numbers.
+
+    They are hashes of the first and of the last q words, q the largest power of two up to half the line
+    (0 for one word). A line whose shorter partner has a smaller q has that one's keys too.
+    """
     n = len(words)
     keys = []
-    for m in (n, n - 1):  # as a line of m words, or as the longer partner of one
-        half = m // 2
-        keys.append(xxhash.xxh64_intdigest(b" ".join(words[:half]), 2 * m))
-        keys.append(xxhash.xxh64_intdigest(b" ".join(words[n - (m - half) :]), 2 * m + 1))
+    for q in {1 << (m.bit_length() - 2) if m > 1 else 0 for m in (n, n - 1) if m >= max(min_words, 0) or m == n}:
+        keys.append(xxhash.xxh64_intdigest(b" ".join(words[:q]), 2 * q))
+        keys.append(xxhash.xxh64_intdigest(b" ".join(words[n - q :]), 2 * q + 1))
     return [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
@@ -98,7 +101,7 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         line_no.append(i)
                         h1.append(h >> 64)
                         h2.append(h & _MASK)
-                        keys.append(half_keys(words) if len(words) >= min_words else None)
+                        keys.append(half_keys(words, min_words) if len(words) >= min_words else None)
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [step.column(0).take(rows), step.column(2).take(rows), pa.array(line_no, pa.int32()),
