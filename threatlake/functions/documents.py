@@ -10,15 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: JSON and nothing else: no single quotes, no bare NaN
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def object_keys(text: Column) -> Column:
     """Names in a JSON object, NULL when ``text`` is not exactly one JSON object.
 
     The parsers stop after the first value, so the text is read as the only element of an array,
     where anything behind the object breaks the syntax or makes a second element.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = text.rlike(r"\}\s*$") & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(listed.isNotNull() & alone, F.json_object_keys(text))
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string, string>>", _STRICT)
+    keys = F.map_keys(F.get(listed, F.lit(0)))
+    alone = (F.size(listed) == 1) & text.rlike(r"\}\s*$")
+    return F.when(alone & (F.size(keys) == F.size(F.array_distinct(keys))), keys)
 
 
 def unpack(df: DataFrame, text: Column, schema: str) -> DataFrame:
