@@ -111,7 +111,7 @@ def encoded_lengths(
 
 
 #: Lengths summed as one block before blocks are summed.
-BLOCK = 4096
+BLOCK = 256
 
 
 def length_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def length_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (this length or more); truncated_total: tokens left if each document is cut at ``length``;
     quantile: share of documents of at most this length. Every row counts, repeated ones too; null and
     empty texts have length 0; an empty table gives no rows. Lengths are summed in blocks, then
-    blocks (one row per 4,096 lengths), so no task sees all lengths.
+    blocks (one row per 256 lengths), so no task sees all lengths.
     """
     with Scratch(docs.sparkSession) as work:
         counted = encoded_lengths(docs, id_col, text_col, tokenizer).groupBy("length").agg(F.count("*").alias("n_docs"))
