@@ -737,8 +737,10 @@ def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, detect_plan.Detecto
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITTED:
         rows = quality.stratified_split(_labelled(spark, sf), "target", "flow_id", {"train": 0.7, "test": 0.3}, exact=True)
-        rows = materialise(rows, "labelled")
-        good = quality.validate_flows(rows, FEATURES).where("is_valid AND split = 'train' AND target IS NOT NULL")
+        # written with the verdict, so that the filter below doesn't repeat the check of 66 columns
+        rows = materialise(quality.validate_flows(rows, FEATURES).drop("report"), "labelled")
+        good = rows.where("is_valid AND split = 'train' AND target IS NOT NULL")
+        rows = rows.drop("is_valid")
         train = materialise(good.select("flow_id", "target", *FEATURES).orderBy(F.xxhash64("flow_id"), "flow_id").limit(TRAIN_ROWS), "train")
         m3, m4 = models.train_m3(train, FEATURES), models.train_m4(train, FEATURES)
         _FITTED[key] = rows, detect_plan.Detectors(FEATURES, m4, m3, isolation.fit(train, FEATURES, "flow_id"))
