@@ -100,3 +100,20 @@ def test_decontaminate(docs, corpus, items, monkeypatch, block):
         if len(texts) == 1 and block > 60:
             n, hit, _ = brute(texts[0], pairs)
             assert len(plain_words(after[i][0])) == n - hit
+
+
+def test_decontaminate_searches_the_given_text_in_every_block(spark, monkeypatch):
+    """A window of a later block overlaps a span of an earlier one; a cut joins words to a window of a later block."""
+    w = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(w), "a"), (2, "x1 x2 x3 x4 x5 " + " ".join(w[:20]) + " x6 x7 x8 x9 x10", "b"), (3, None, "c")], "doc_id int, text string, __spans string")
+    parts = [" ".join(w[:20]), " ".join(w[15:26]), " ".join(f"x{i}" for i in range(1, 11)), " ".join(w[40:52])]
+    for order in (parts, parts[::-1]):
+        items = spark.createDataFrame(list(enumerate(order)), "item_id int, text string").coalesce(1)
+        for block in (1 << 20, 60, 1):
+            monkeypatch.setattr(dc.blocks, "__defaults__", ("item_id", "text", 10, block))
+            out = dc.decontaminate(docs, items)
+            assert out.schema == docs.schema
+            got = {r.doc_id: r.text and plain_words(r.text) for r in out.collect()}
+            assert got == {1: plain_words(" ".join(w[26:40] + w[52:])), 2: [b"x%d" % i for i in range(1, 11)], 3: None}
+            n_hit = {r.id: r.n_hit for r in dc.contamination(docs, items).collect()}
+            assert n_hit == {1: 60 - len(got[1]), 2: 20, 3: 0}

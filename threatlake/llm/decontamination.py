@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from threatlake.llm.common import PLAIN, plain_words, steps, texts
 from threatlake.llm.fm_index import FMIndex
@@ -221,18 +222,35 @@ def decontaminate(
     """``docs`` with the spans that benchmark windows cover cut from the texts; rows and columns stay.
 
     Rows pass through the tasks as they are, so nothing is shuffled. A text without a hit is unchanged.
+    Every block is searched in the text as it was given: the spans found so far travel in a last column,
+    and the last block cuts.
     """
     at, schema, out = docs.columns.index(text_col), docs.schema, docs
-    for windows in blocks(benchmark, item_col, item_text_col, width):
-
-        def run(batches, windows=windows):
-            for step in steps(batches, at):
-                documents = step.column(at).to_pylist()
-                found = search(documents, windows)
-                if any(f[1] for f in found):
-                    cut = [without_spans(t, f[1]) if f[1] else t for t, f in zip(documents, found, strict=True)]
-                    step = step.set_column(at, step.schema.field(at), pa.array(cut, step.schema.field(at).type))
-                yield step
-
-        out = out.mapInArrow(run, schema)
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    name = "__spans" + "_" * max((len(c) for c in docs.columns), default=0)
+    carried = T.StructType([*schema.fields, T.StructField(name, T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))])
+
+    def run(batches, windows, first, last):
+        for step in steps(batches, at):
+            documents = step.column(at).to_pylist()
+            spans = [f[1] for f in search(documents, windows)]
+            if not first:
+                earlier = step.column(step.num_columns - 1).to_pylist()
+                spans = [_merged([*((x["start"], x["end"]) for x in a), *b]) for a, b in zip(earlier, spans, strict=True)]
+                step = step.select(range(step.num_columns - 1))
+            if not last:
+                column = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span)
+                step = pa.RecordBatch.from_arrays([*step.columns, column], [*step.schema.names, name])
+            elif any(spans):
+                cut = [without_spans(t, x) if x else t for t, x in zip(documents, spans, strict=True)]
+                step = step.set_column(at, step.schema.field(at), pa.array(cut, step.schema.field(at).type))
+            yield step
+
+    every = blocks(benchmark, item_col, item_text_col, width)
+    windows, first = next(every), True
+    while windows is not None:
+        more = next(every, None)
+        task = partial(run, windows=windows, first=first, last=more is None)
+        out = out.mapInArrow(task, schema if more is None else carried)
+        windows, first = more, False
     return out
