@@ -12,11 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threatlake.operators.ranking import ranked
+from threatlake.operators.ranking import ranked, running_total
+from threatlake.session import materialise
 
 SHARDS, BITS = 40, 5
-#: Bytes of a text value that count for its order.
-_PREFIX = 7
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -56,30 +55,36 @@ def curve_index(cells: Sequence[Column], bits: int = BITS) -> Column:
     return index
 
 
-def ordinal(column: Column, kind: str) -> Column:
-    """A number in the order of the column; texts by their first bytes."""
-    if kind in ("string", "binary"):
-        head = F.rpad(F.substring(column.cast("binary"), 1, _PREFIX), _PREFIX, F.lit(bytes([0])))
-        return F.conv(F.hex(head), 16, 10).cast("double")
-    return column.cast("double")
+def _by_text(df: DataFrame, name: str, cell: str, bits: int) -> DataFrame:
+    """``df`` plus the cell of a text column, cut by the rank of the whole value among all rows."""
+    counted = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__value")).agg(F.count("*").alias("__n"))
+    counted = materialise(counted, "values")
+    total = counted.agg(F.sum("__n")).first()[0] or 1
+    ranks = running_total(counted, [], ["__value"], "__n", "__from")
+    side = ranks.select("__value", F.expr(f"(__from * {1 << bits}) div {total}").cast("int").alias(cell))
+    return df.join(side, df[name] == side["__value"], "left").drop("__value").fillna(0, [cell])
 
 
-def quantised(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> list[Column]:
-    """A cell number per dimension; the bounds (2**bits - 1 per dimension) are quantiles over all rows.
+def quantised(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> tuple[DataFrame, list[str]]:
+    """``df`` plus a cell number per dimension, and their names; a cell holds about equal rows.
 
-    Nulls are in cell 0. Equal values share a cell, so a hot value makes some cells empty, not large ones.
+    Texts are placed by their rank, numbers by quantiles over all rows (2**bits - 1 bounds). Nulls are in cell
+    0. Equal values share a cell, so a hot value makes some cells empty, not large ones.
     """
     kinds = dict(df.dtypes)
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    numbers = [ordinal(F.col(c), kinds[c]) for c in dims]
-    row = df.agg(*[F.percentile_approx(n, shares, 10000).alias(f"b{i}") for i, n in enumerate(numbers)]).first()
-    cells = []
-    for i, n in enumerate(numbers):
-        cell = F.lit(0)
-        for bound in row[i] or []:
-            cell = cell + F.coalesce(n > bound, F.lit(False)).cast("int")
-        cells.append(cell)
-    return cells
+    cells = [f"__cell{i}" for i in range(len(dims))]
+    numbers = {n: F.col(c).cast("double") for n, c in zip(cells, dims, strict=True) if kinds[c] not in ("string", "binary")}
+    row = df.agg(F.count("*"), *[F.percentile_approx(x, shares, 10000).alias(n) for n, x in numbers.items()]).first()
+    for n, c in zip(cells, dims, strict=True):
+        if n in numbers:
+            cell = F.lit(0)
+            for bound in row[n] or []:
+                cell = cell + F.coalesce(numbers[n] > bound, F.lit(False)).cast("int")
+            df = df.withColumn(n, cell)
+        else:
+            df = _by_text(df, c, n, bits)
+    return df, cells
 
 
 def shard(df: DataFrame, dims: Sequence[str], ties: Sequence[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -88,7 +93,8 @@ def shard(df: DataFrame, dims: Sequence[str], ties: Sequence[str], shards: int =
     Counts of shards differ by one at most. ``ties`` order rows of one index; rows that repeat in all of
     them are ordered anyhow and may be parted by a cut. An empty table gives no rows.
     """
-    placed = df.withColumn("curve", curve_index(quantised(df, dims, bits), bits)).withColumn("__tie", F.monotonically_increasing_id())
+    celled, cells = quantised(df, dims, bits)
+    placed = celled.withColumn("curve", curve_index([F.col(c) for c in cells], bits)).drop(*cells).withColumn("__tie", F.monotonically_increasing_id())
     rows = ranked(placed, [], ["curve", *ties, "__tie"], "__place").drop("__tie")
     total = max(rows.count(), 1)
     number = F.expr(f"((__place - 1) * {shards}) div {total}")
