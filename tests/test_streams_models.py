@@ -206,3 +206,15 @@ def test_window_updates_cover_open_windows(spark, sf, tmp_path):
     assert rows(latest) == rows(jobs.windowed(events).select(latest.columns))
     compacted = jobs.compact_snapshots(spark, out, str(tmp_path / "small"), keys)
     assert compacted.count() == latest.count() and rows(jobs.latest_snapshots(compacted, keys)) == rows(latest)
+
+
+def test_isolation_forest_is_fitted_on_all_valid_training_rows(spark, sf, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(q, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(q, "_FITTED", {})
+    monkeypatch.setattr(q.models, "train_m3", lambda df, *a: seen.setdefault("m3", df.count()))
+    monkeypatch.setattr(q.models, "train_m4", lambda df, *a: seen.setdefault("m4", df.count()))
+    monkeypatch.setattr(q.isolation, "fit", lambda df, *a: seen.setdefault("anomaly", df.count()))
+    rows, _ = q.fitted(spark, sf)
+    train = q.quality.validate_flows(rows, q.FEATURES).where("is_valid AND split = 'train' AND target IS NOT NULL").count()
+    assert seen == {"m3": 50, "m4": 50, "anomaly": train} and train > 50

@@ -719,7 +719,7 @@ def window_counts(spark, sf):
 # --- models ----------------------------------------------------------------------------------------
 
 FEATURES = list(flow_contract().columns)
-#: Labelled rows the registered models learn from at most, the first by a hash of the key; the forests have
+#: Labelled rows the two registered classifiers learn from at most, the first by a hash of the key; the forests have
 #: their published size, and all rows are scored.
 TRAIN_ROWS = 5_000
 #: Share of right classes on the test rows that the models must reach. The benign and scan rows of the test
@@ -743,7 +743,7 @@ def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, detect_plan.Detecto
         rows = rows.drop("is_valid")
         train = materialise(good.select("flow_id", "target", *FEATURES).orderBy(F.xxhash64("flow_id"), "flow_id").limit(TRAIN_ROWS), "train")
         m3, m4 = models.train_m3(train, FEATURES), models.train_m4(train, FEATURES)
-        _FITTED[key] = rows, detect_plan.Detectors(FEATURES, m4, m3, isolation.fit(train, FEATURES, "flow_id"))
+        _FITTED[key] = rows, detect_plan.Detectors(FEATURES, m4, m3, isolation.fit(good, FEATURES, "flow_id"))
     return _FITTED[key]
 
 
