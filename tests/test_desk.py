@@ -152,3 +152,16 @@ def test_answers(spark):
         f"missing:{f}" for f in CORRELATION_FIELDS[1:]], json.dumps({**RELATED, "confidence": -1}): ["confidence"]}
     for row in answers.validate_correlations(spark.createDataFrame([(t,) for t in pairs], "text string")).collect():
         assert row["errors"] == pairs[row["text"]]
+
+
+def test_answer_documents_wraps_whole_texts(spark, sf, monkeypatch):
+    from threatlake.catalog import queries as q
+
+    seen, judge = [], answers.validate_analyses
+    monkeypatch.setattr(q.answers, "validate_analyses", lambda rows: seen.append(rows) or judge(rows))
+    q.answer_documents(spark, sf)
+    given = {(r.conv_id, r.turn): r.text for r in q.table(spark, sf, "conversations").where("role = 'assistant'").collect()}
+    wrapped = [r for r in seen[0].collect() if (r.conv_id + r.turn) % 3 == 0]
+    assert wrapped and max(len(given[r.conv_id, r.turn]) for r in wrapped) > 40
+    for r in wrapped:
+        assert json.loads(r.text.split("```json\n")[1].rsplit("\n```", 1)[0])["ai_summary"] == given[r.conv_id, r.turn]

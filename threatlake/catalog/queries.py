@@ -211,7 +211,7 @@ def answer_documents(spark, sf):
     """Answers of the conversation table, most of them prose; every third wraps a document around its words."""
     rows = table(spark, sf, "conversations").where("role = 'assistant'")
     doc = F.to_json(F.struct(
-        F.substring("text", 1, 40).alias("ai_summary"), F.lit("scan").alias("threat_assessment"), F.lit("HIGH").alias("risk_level"),
+        F.col("text").alias("ai_summary"), F.lit("scan").alias("threat_assessment"), F.lit("HIGH").alias("risk_level"),
         F.lit(0.5).alias("confidence"), F.array(F.lit("x")).alias("why_suspicious"), F.lit("Discovery").alias("attack_stage"),
         F.struct(F.lit("T1046").alias("technique")).alias("mitre_context"), F.array(F.lit("check")).alias("recommended_actions"),
         F.when(F.col("conv_id") % 2 == 0, F.lit("HIGH")).alias("investigation_priority"),
