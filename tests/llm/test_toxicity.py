@@ -84,6 +84,12 @@ def test_model_by_brute_force(spark, made):
     assert got == pytest.approx({d[0]: s for d, s in zip(docs, model.score(texts), strict=False) if d[0]}, abs=1e-3)
 
 
+def test_bounded_training_rows(spark, made):
+    _, _, frame, known = made
+    few = toxicity.score_toxicity(frame, known, train_rows=3).collect()
+    assert len(few) == 406 and len({r["score"] for r in few}) == 1  # three rows prove no feature
+
+
 def test_labels_of_one_kind_or_none(spark, made, empty):
     _, _, frame, known = made
     assert toxicity.score_toxicity(empty, known).collect() == []

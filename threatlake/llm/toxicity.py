@@ -1,11 +1,13 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text is lower-cased, its blanks become single ones, and its distinct n-grams of three to five characters are
-hashed into 2^18 features. Per feature, the documents of each class that hold it are counted over all labelled
-training rows; the log ratio of the two smoothed shares is the feature's value wherever it occurs. Logistic
-regression (Spark ML, all training rows) is fitted on the features whose dependence on the label is beyond
-chance (log-likelihood ratio), the best 2^13 at most, so that a long text doesn't gather the weights of thousands
-of n-grams that chance made one-sided. Scoring reads whole texts in one narrow pass with 2^18 weights.
+hashed into 2^18 features. Per feature, the documents of each class that hold it are counted over the training
+rows; the log ratio of the two smoothed shares is the feature's value wherever it occurs. Logistic regression
+(Spark ML) is fitted on the features whose dependence on the label is beyond chance (log-likelihood ratio), the
+best 2^13 at most, so that a long text doesn't gather the weights of thousands of n-grams that chance made
+one-sided. Training rows are labelled rows, at most ``TRAIN_ROWS`` of them, the first by a hash of the id: their
+ids are few enough to be sent to all tasks, so no text is shuffled. Scoring reads all whole texts in one narrow
+pass with 2^18 weights.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BITS = 18
 #: penalty of the weights, smoothing of the counts.
 FEATURES, EVIDENCE, PENALTY, SMOOTHING = 1 << 13, 6.0, 1e-4, 1.0
 TOXIC_FROM, HELD_OUT_MOD = 0.5, 5
+#: Labelled rows the classifier learns from, at most.
+TRAIN_ROWS = 20_000
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -53,7 +57,18 @@ def grams(texts: list[str | None], bits: int = BITS) -> Iterator[tuple[np.ndarra
         if n in GRAMS:
             whole = owner[:m] == owner[n - 1 :]
             mixed = (h + np.uint32(n)) * np.uint32(0x85EBCA6B)
-            yield (mixed >> np.uint32(32 - bits))[whole].astype(np.int64), owner[:m][whole]
+            yield (mixed >> np.uint32(32 - bits))[whole], owner[:m][whole]
+
+
+def _held(found: list[tuple[np.ndarray, np.ndarray]], rows: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and feature of every distinct pair, in order; ``found`` holds features and texts with repeats."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = np.uint32 if rows <= 1 << (32 - bits) else np.uint64
+    keys = np.concatenate([doc.astype(kind) << kind(bits) | h.astype(kind) for h, doc in found])
+    keys.sort()
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+    return (keys >> kind(bits)).astype(np.int64), (keys & kind((1 << bits) - 1)).astype(np.int64)
 
 
 def held_out(id_col: str = "id"):
@@ -70,12 +85,9 @@ def document_counts(labelled: DataFrame, bits: int = BITS) -> DataFrame:
         for step in steps(batches, 0):
             label = step.column(1).to_numpy(zero_copy_only=False)
             rows += np.bincount(label, minlength=2)
-            found = list(grams(step.column(0).to_pylist(), bits))
-            if not found:
-                continue
-            keys = np.unique(np.concatenate([doc.astype(np.int64) << bits | h for h, doc in found]))
+            doc, feature = _held(list(grams(step.column(0).to_pylist(), bits)), step.num_rows, bits)
             for k in (0, 1):
-                counts[k] += np.bincount((keys & (size - 1))[label[keys >> bits] == k], minlength=size)
+                counts[k] += np.bincount(feature[label[doc] == k], minlength=size)
         there = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[-1, there].astype(np.int32)), *(pa.array(np.r_[rows[k], counts[k][there]]) for k in (0, 1))], ["feature", "n0", "n1"]
@@ -114,13 +126,10 @@ class Toxicity:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         level = np.full(len(texts), self.intercept)
-        keys = []
-        for h, doc in grams(texts, self.bits):
-            hit = self.weights[h] != 0
-            keys.append(doc[hit].astype(np.int64) << self.bits | h[hit])
-        if keys:
-            held = np.unique(np.concatenate(keys))
-            level += np.bincount(held >> self.bits, self.weights[held & ((1 << self.bits) - 1)], minlength=len(texts))
+        counts = self.weights != 0
+        found = [(h[hit], doc[hit]) for h, doc in grams(texts, self.bits) for hit in [counts[h]]]
+        doc, feature = _held(found, len(texts), self.bits)
+        level += np.bincount(doc, self.weights[feature], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(level, -700, 700)))
 
 
@@ -148,10 +157,10 @@ def fit(labelled: DataFrame, features: int = FEATURES, penalty: float = PENALTY,
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
 
     def select(step: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [doc[place[h] >= 0].astype(np.int64) << bits | place[h[place[h] >= 0]] for h, doc in grams(step.column("text").to_pylist(), bits)]
-        held = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        offsets = np.searchsorted(held, np.arange(step.num_rows + 1) << bits).astype(np.int32)
-        found = pa.ListArray.from_arrays(pa.array(offsets), pa.array((held & (size - 1)).astype(np.int32)))
+        hits = [(at[known], doc[known]) for h, doc in grams(step.column("text").to_pylist(), bits) for at in [place[h]] for known in [at >= 0]]
+        doc, chosen_at = _held(hits, step.num_rows, bits)
+        offsets = np.searchsorted(doc, np.arange(step.num_rows + 1)).astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen_at.astype(np.int32)))
         return pa.RecordBatch.from_arrays([found, step.column("label")], ["found", "label"])
 
     scale = ratio[chosen]
@@ -167,17 +176,18 @@ def fit(labelled: DataFrame, features: int = FEATURES, penalty: float = PENALTY,
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
-    label_col: str = "toxic", features: int = FEATURES, penalty: float = PENALTY, toxic_from: float = TOXIC_FROM,
+    label_col: str = "toxic", features: int = FEATURES, penalty: float = PENALTY, toxic_from: float = TOXIC_FROM, train_rows: int = TRAIN_ROWS,
 ) -> DataFrame:
     """id, held_out, score, predicted; one row per row of ``docs``.
 
-    Learns from all labelled rows that are not held out. Labels other than 0 and 1, null labels and null ids are
-    none; a repeated row counts each time. A null text is an empty one; it has no n-gram and gets the score of
+    Learns from the labelled rows that are not held out, ``train_rows`` labels at most. Labels other than 0 and 1,
+    null labels and null ids are none; a repeated row counts each time. A null text is an empty one; it has no n-gram and gets the score of
     none. Equal texts get equal scores. An empty table gives no rows, and without labels every score is 0.5.
     """
     rows = texts(docs, id_col, text_col).withColumn("held_out", held_out())
     known = labels.select(labels[label_id].alias("id"), labels[label_col].cast("int").alias("label")).where("label IN (0, 1)")
-    model = fit(rows.where("NOT held_out").join(known, "id"), features, penalty)
+    drawn = known.where(~held_out()).orderBy(F.xxhash64("id"), "id", "label").limit(train_rows)
+    model = fit(rows.join(F.broadcast(drawn), "id"), features, penalty)
 
     def make(step: pa.RecordBatch) -> pa.RecordBatch:
         s = model.score(step.column("text").to_pylist())
