@@ -1,0 +1,204 @@
+"""Raw flows to incidents, flattened forests, saved detectors and capture files."""
+
+import numpy as np
+import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import functions as F, types as T
+
+from threatlake import session
+from threatlake.adapters import load
+from threatlake.catalog import queries as q
+from threatlake.operators import alerts as desk, anomaly, detection, forests, isolation, models
+from threatlake.plans import detect as plan, investigate
+from threatlake.sources import flows as source
+from threatlake.streaming import jobs
+
+FEATURES = ["a", "b", "c"]
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rng = np.random.default_rng(11)
+    made = []
+    for i in range(600):
+        kind = ("BENIGN", "DDOS", "PORT_SCAN", "BOTNET")[i % 4]
+        x = rng.normal({"BENIGN": 0, "DDOS": 3, "PORT_SCAN": -3, "BOTNET": 1}[kind], 1.5, 3)
+        made.append((f"f{i:03}", kind, f"10.0.0.{i % 7}", "10.9.9.9", 80 + i % 3, i, *(round(float(v), 1) for v in x)))
+    return spark.createDataFrame(made, "k string, target string, src_ip string, dst_ip string, dst_port int, seq int, a double, b double, c double").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def found(spark, data):
+    size = models.ForestSettings(trees=12, depth=9)
+    forest = isolation.fit(data, ["c", "a"], "k", trees=10, sample=64)
+    return plan.Detectors(FEATURES, models.train_m4(data, FEATURES, settings=size), models.train_m3(data, FEATURES, settings=size), forest)
+
+
+def told(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_flat_forests_are_the_models(spark, data, found):
+    """Class, confidence and every probability, bit by bit, on rows and on values outside of what training saw."""
+    far = data.limit(3).select("k", *[(F.col(c) * 1e6).alias(c) for c in FEATURES])
+    rows = data.select("k", *FEATURES).union(far).union(far.select("k", *[F.lit(None).cast("double").alias(c) for c in FEATURES]))
+    for model in (found.m4, found.m3):
+        flat = forests.flat(model, spark)
+        assert len(flat.trees) == 12 and max(t[4] for t in flat.trees) <= 9
+        walked = models.apply_forest(rows, model, FEATURES, "m")
+        judged = models.predict(rows, FEATURES, model).withColumnsRenamed({f"m4_{c}": f"m_{c}" for c in ("class", "confidence", "probabilities")})
+        kept = ["k", "m_class", "m_confidence", "m_probabilities"]
+        assert told(walked.select(kept)) == told(judged.select(kept))
+    x = np.array([[r[c] for c in FEATURES] for r in data.collect()])
+    probability = {tuple(r["x"]): list(r["p"]) for r in _probabilities(data, found.m4).collect()}
+    for row, p in zip(x, forests.flat(found.m4, spark).probabilities(x), strict=True):
+        assert probability[tuple(row)] == p.tolist()
+
+
+def _probabilities(df, model):
+    out = df.select(*FEATURES)
+    for stage in model.stages[1:]:
+        out = stage.transform(out)
+    from pyspark.ml.functions import vector_to_array
+    return out.select(F.array(*FEATURES).alias("x"), vector_to_array("probability").alias("p"))
+
+
+def test_anomaly_scores_in_the_same_pass(data, found):
+    one = models.predict(data, FEATURES, found.m4, found.m3, found.anomaly).select("k", "m4_anomaly")
+    two = found.anomaly.score(data).select("k", F.round("anomaly_score", 4).alias("m4_anomaly"))
+    assert told(one) == told(two)
+
+
+def test_anomaly_model_in_a_pipeline(spark, data, tmp_path):
+    detector = anomaly.AnomalyDetector(inputCols=["a", "b"], keyCol="k", numTrees=7, sampleSize=32, seed=3, outputCol="odd")
+    detector.write().save(str(tmp_path / "estimator"))
+    model = Pipeline(stages=[anomaly.AnomalyDetector.load(str(tmp_path / "estimator"))]).fit(data)
+    model.write().save(str(tmp_path / "pipeline"))
+    again = PipelineModel.load(str(tmp_path / "pipeline"))
+    assert told(model.transform(data).select("k", "odd")) == told(again.transform(data).select("k", "odd"))
+    forest = again.stages[0].forest
+    assert forest.nodes["tree"].nunique() == 7 and forest.sample == 32 and again.stages[0].getOrDefault("seed") == 3
+
+
+def test_saved_detectors(spark, data, found, tmp_path):
+    found.save(str(tmp_path / "all"), spark)
+    again = plan.Detectors.load(str(tmp_path / "all"), spark)
+    assert again.features == FEATURES
+    verdicts = lambda d: told(plan.detect_flows(data, d, ["k"]).select("k", "status", "event.threat_class", "event.confidence", "event.anomaly_score", F.to_json("event.classifications")))
+    assert verdicts(found) == verdicts(again)
+    plan.Detectors(FEATURES).save(str(tmp_path / "none"), spark)
+    neutral = plan.detect_flows(data, plan.Detectors.load(str(tmp_path / "none"), spark), ["k"])
+    assert {tuple(r) for r in neutral.select("event.threat_class", "event.confidence", "event.anomaly_score", "event.probabilities").collect()} == {("BENIGN", 0.0, 0.0, None)}
+
+
+def test_map_is_the_broad_models(spark):
+    """Also where the flood model's verdict stands, with any thresholds."""
+    rows = spark.createDataFrame([("x", "DDOS", 0.9, {"DDOS": 0.9, "BENIGN": 0.1}, "BENIGN", 0.8, {"BENIGN": 0.8, "BOTNET": 0.2}, 0.1)],
+                                 "k string, m3_class string, m3_confidence double, m3_probabilities map<string,double>, m4_class string, m4_confidence double, m4_probabilities map<string,double>, m4_anomaly double")
+    event = detection.assemble(plan.classify(rows), ["k"]).first()
+    assert event["threat_class"] == "DDOS" and event["probabilities"] == {"BENIGN": 0.8, "BOTNET": 0.2}
+    assert event["classifications"]["m3"]["probabilities"] == {"DDOS": 0.9, "BENIGN": 0.1}
+
+
+def mixed(data):
+    """Every fifth row comes as an event, every seventh of the others is broken."""
+    known = F.col("seq") % 5 == 0
+    rows = data.withColumns({
+        "threat_class": F.when(known, "BOTNET"), "confidence": F.when(known, F.lit(0.6)), "anomaly_score": F.when(known, F.lit(0.2)),
+        "a": F.when(~known & (F.col("seq") % 7 != 0), F.col("a")), "ts": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")).cast("timestamp_ntz")})
+    return rows.drop("target")
+
+
+def test_mixed_rows(data, found):
+    out = {r["k"]: r for r in plan.detect_flows(mixed(data).drop("dst_port"), found, ["k"]).collect()}
+    assert len(out) == 600
+    for i in range(600):
+        row, event = out[f"f{i:03}"], out[f"f{i:03}"]["event"]
+        if i % 5 == 0:
+            assert (event["threat_class"], event["confidence"], event["anomaly_score"]) == ("BOTNET", 0.6, 0.2)
+            assert event["classifications"]["m4"]["threat_class"] is None and event["decision"] == "SUSPICIOUS"
+        elif i % 7 == 0:
+            assert row["status"] == "error" and event is None and row["report"]["nan_features"] == ["a"]
+        else:
+            assert row["status"] == "success" and event["probabilities"]
+
+
+def test_endpoints_from_the_features(spark, found):
+    rows = spark.createDataFrame([("x", "", "10.1.1.1", 443.0, 1.0, 1.0, 1.0), ("y", "10.2.2.2", None, 0.0, 1.0, 1.0, 1.0)],
+                                 "k string, src_ip string, source_ip string, destination_port double, a double, b double, c double")
+    out = {r["k"]: r["event"] for r in plan.detect_flows(rows, found, ["k"]).collect()}
+    assert (out["x"]["source"]["src_ip"], out["x"]["destination"]["dst_port"]) == ("10.1.1.1", 443)
+    assert (out["y"]["source"]["src_ip"], out["y"]["destination"]["dst_port"]) == ("10.2.2.2", None)
+
+
+def test_incidents_in_batch_and_stream(spark, data, found, sf, tmp_path):
+    """One call against events put together by hand; a stream in three arrivals, one of them replayed."""
+    rows, intel = mixed(data), load(spark, sf, "intel")
+    done = investigate.investigate_flows(rows, intel, found, ["k"], ["seq"])
+    events = {r["k"]: r for r in done.events.collect()}
+    assert done.errors.count() + len(events) == 600 and done.errors.count() == sum(1 for i in range(600) if i % 5 and i % 7 == 0)
+    good = sorted(i for i in range(600) if i % 5 == 0 or i % 7)
+    assert [events[f"f{i:03}"]["arrival_seq"] for i in good] == list(range(1, len(good) + 1))
+    want = {r["incident_id"]: r for r in done.incidents.collect()}
+    assert sum(r["event_count"] for r in want.values()) == len(good)
+    drop, out, bad, mark = (str(tmp_path / p) for p in ("drop", "events", "errors", "mark"))
+    for part in range(3):
+        rows.where(f"seq DIV 200 = {part}").write.mode("append").parquet(drop)
+        inbox = source.stream(spark, drop, rows.schema)
+        jobs.event_stream(inbox, found, ["k"], ["seq"], out, bad, mark, available_now=True).awaitTermination()
+    first = told(spark.read.parquet(out).select("k", "arrival_seq"))
+    (tmp_path / "mark" / "commits" / "2").unlink()  # the last batch was written but not committed: it runs again
+    (tmp_path / "mark" / "commits" / ".2.crc").unlink(missing_ok=True)
+    jobs.event_stream(source.stream(spark, drop, rows.schema), found, ["k"], ["seq"], out, bad, mark, available_now=True).awaitTermination()
+    assert told(spark.read.parquet(out).select("k", "arrival_seq")) == first
+    assert spark.read.parquet(bad).count() == done.errors.count()
+    seq = {r["k"]: r["arrival_seq"] for r in spark.read.parquet(out).collect()}
+    assert sorted(seq, key=seq.get) == [f"f{i:03}" for i in good]
+    stream = source.stream(spark, out, spark.read.parquet(out).schema)
+    jobs.incident_stream(stream, intel, str(tmp_path / "incidents"), str(tmp_path / "mark2"), available_now=True).awaitTermination()
+    got = jobs.latest_snapshots(spark.read.parquet(str(tmp_path / "incidents"))).select(done.incidents.columns)
+    assert told(got) == told(done.incidents)
+
+
+SCHEMA = T.StructType([T.StructField("Flow Duration", T.DoubleType()), T.StructField("dst_port", T.IntegerType()), T.StructField("label", T.StringType())])
+
+
+@pytest.mark.parametrize(("text", "good", "bad"), [
+    (" label , Destination,dst_port,flow_duration\nA,x,80,1.5\nB,y,81,\n", [(1.5, 80, "A"), (None, 81, "B")], []),
+    ("dst_port,dst_port,Label\n1,2,A\n", [(None, 1, "A")], []),
+    ("dst_port, FLOW duration ,label\n1,2,A\nssh,3,B\n4,5\n\n6,7,C,8\n9,1e3,\"D,E\"\n", [(2.0, 1, "A"), (1000.0, 9, "D,E")], ["ssh,3,B", "4,5", "6,7,C,8"]),
+    ("label\nonly\n", [(None, None, "only")], []), ("dst_port,label\n", [], []), ("", [], []),
+])
+def test_capture_by_header(spark, tmp_path, text, good, bad):
+    (tmp_path / "one.csv").write_text(text)
+    rows, broken = source.split_broken(source.capture_csv(spark, str(tmp_path), SCHEMA))
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted(good, key=repr)
+    assert sorted(r[0] for r in broken.collect()) == sorted(bad)
+    assert rows.select("dst_port").count() == len(good) and source.read_csv(spark, str(tmp_path), SCHEMA).count() == len(good) + len(bad)
+
+
+def test_header_names():
+    contract = ["Flow Duration", "Total Fwd Packets", "label"]
+    assert source.header_names([" Flow Duration", "total_fwd_packets ", "label", "label", "Other ", ""], contract) == [
+        "Flow Duration", "Total Fwd Packets", "label", "label_2", "Other", "column"]
+
+
+def test_null_ids_are_never_stored(spark):
+    stored = spark.createDataFrame([("A", 1)], "alert_id string, arrival_seq long")
+    incoming = spark.createDataFrame([(None, 2), (None, 3), ("A", 4), ("B", 5)], "alert_id string, arrival_seq long")
+    once = desk.append(stored, incoming)
+    assert told(once) == told(desk.append(once, incoming)) and once.count() == 2
+
+
+def test_models_are_fitted_anew_after_release(spark, sf, monkeypatch):
+    monkeypatch.setattr(q, "TRAIN_ROWS", 60)
+    monkeypatch.setattr(q, "_FITTED", {})
+    monkeypatch.setattr(models, "FOREST", None)
+    small = models.ForestSettings(trees=3, depth=3)
+    three, four = models.train_m3, models.train_m4
+    monkeypatch.setattr(q.models, "train_m3", lambda df, f: three(df, f, settings=small))
+    monkeypatch.setattr(q.models, "train_m4", lambda df, f: four(df, f, settings=small))
+    monkeypatch.setattr(q.isolation, "fit", lambda df, f, k, fit=isolation.fit: fit(df, f, k, trees=3, sample=16))
+    before = q.predict_batch(spark, sf).count()
+    session.release(spark)
+    assert q.predict_batch(spark, sf).count() == before and len(q._FITTED) == 1

@@ -220,6 +220,7 @@ s AS (SELECT target, CASE WHEN p * 1.0::DOUBLE / c < 0.7::DOUBLE THEN 'train' EL
 
 ORACLES: dict[str, str] = {
     "scan_flows": FLOWS,
+    "scan_capture": f"SELECT *, (SELECT count(*) FROM ({FLOWS}) b WHERE dst_port = 22 AND total_bwd_packets = 3) AS broken FROM ({FLOWS}) f",
     "scan_alerts": DESK,
     "alert_append": f"WITH {APPEND} SELECT alert_id, arrival_seq, threat, severity FROM st UNION ALL SELECT alert_id, arrival_seq, threat, severity FROM fresh",
     "clean_headers": FLOWS,
@@ -254,6 +255,7 @@ SELECT arrival_seq, NOT prose AS has_document,
   FROM conversations WHERE role = 'assistant'""",
     "assemble_event": f"""WITH {FUSED} SELECT sha256(flow_id) AS event_id, ts AS "timestamp", threat_class, decision, confidence, anomaly_score, src_ip, dst_ip, dst_port,
   m3_class, m4_class, severity, 'NEW' AS alert_status, 'success' AS status, decision AS alert_decision, ts AS alert_time,
+  CASE WHEN m4_class < 'only_m4' THEN concat(m4_class, ',only_m4') ELSE concat('only_m4,', m4_class) END AS map_classes, coalesce(m4_confidence, 0.5::DOUBLE) AS map_m4,
   CASE WHEN threat_class <> 'BENIGN' AND coalesce(confidence, 1) >= 0.8 THEN 'attack_confidence' WHEN anomaly_score >= 0.7 THEN 'anomaly'
     WHEN threat_class = 'BENIGN' AND coalesce(confidence, 1) >= 0.8 THEN 'benign_confidence' WHEN threat_class <> 'BENIGN' THEN 'attack_below_threshold'
     ELSE 'benign_below_threshold' END AS decision_reason FROM us""",
@@ -405,14 +407,21 @@ SELECT src_ip, min(ts) AS session_start, max(ts) + INTERVAL '5 minutes' AS sessi
   min(page_id) % 100 / 100.0::DOUBLE AS confidence, 'pages' AS source FROM ({DOMAINS}) d GROUP BY domain""",
     "conform_intel": f"""SELECT 'Domain' AS ioc_type, domain AS value, 'SUSPICIOUS' AS reputation, max(page_id) % 50 / 50.0::DOUBLE AS confidence,
   concat('feed-', lpad(CAST(max(page_id) AS VARCHAR), 6, '0')) AS source, 'none' AS threat_actor FROM ({DOMAINS}) d GROUP BY domain""",
-    "model_reload": f"WITH {_SPLIT} SELECT split, count(*) AS n, 0 AS other, true AS none_found FROM s GROUP BY 1",
+    "model_reload": f"WITH {_SPLIT} SELECT split, count(*) AS n, 0 AS other, 0 AS other_m3, 0 AS other_anomaly, 0 AS not_neutral, true AS none_found FROM s GROUP BY 1",
+    "flat_forest_check": f"WITH {_SPLIT} SELECT split, count(*) AS n, 0 AS other_m3, 0 AS other_m4 FROM s GROUP BY 1",
     "class_weights": f"""WITH f AS (SELECT {_TARGET} AS target FROM ({FLOWS}) x WHERE label IS NOT NULL),
 c AS (SELECT target, count(*) AS n FROM f GROUP BY 1)
 SELECT target, n, round(sum(n) OVER () * 1.0::DOUBLE / (count(*) OVER () * n), 6) AS weight FROM c""",
-    "isolation_forest": f"SELECT count(*) + 3 AS n, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, true AS planted_first FROM ({FLOWS}) f",
-    "predict_batch": f"""WITH {_SPLIT} SELECT split, count(*) AS n, 0 AS other_decision, 0 AS other_severity, 0 AS other_class, 0 AS odd_scores FROM s GROUP BY 1""",
-    **{m: f"""WITH {_SPLIT} SELECT coalesce(target, 'none') AS target, count(*) AS n, 0 AS bad_confidence, 0 AS bad_maps, true AS accuracy_met
-  FROM s WHERE split = 'test' GROUP BY 1""" for m in ("train_m3", "train_m4")},
+    "isolation_check": f"SELECT count(*) + 3 AS n, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, true AS planted_first FROM ({FLOWS}) f",
+    "predict_check": f"""WITH {_SPLIT} SELECT split, count(*) AS n, 0 AS other_decision, 0 AS other_severity, 0 AS other_class, 0 AS odd_scores FROM s GROUP BY 1""",
+    "train_check": f"""WITH {_SPLIT} SELECT model, coalesce(target, 'none') AS target, count(*) AS n, 0 AS bad_confidence, 0 AS bad_maps, true AS accuracy_met
+  FROM s CROSS JOIN (VALUES ('m3'), ('m4')) m(model) WHERE split = 'test' GROUP BY 1, 2""",
+    **{q: f"""WITH f AS ({FULL}), g AS (SELECT *, coalesce(label = 'DDoS' AND total_fwd_packets >= 30, false) AS known FROM f),
+h AS (SELECT *, known OR (flow_duration IS NOT NULL AND NOT isinf(flow_bytes_s)) AS good FROM g),
+e AS (SELECT *, row_number() OVER (ORDER BY ts, flow_id) AS seq FROM h WHERE good)
+SELECT concat('inc-', replace(src_ip, '.', '-')) AS incident_id, src_ip AS source_entity, arg_min(dst_ip, seq) AS target_entity, count(*) AS event_count,
+  arg_min(ts, seq) AS created_at, arg_max(ts, seq) AS updated_at, bool_or(known) AS has_classified, (SELECT count(*) FROM h WHERE NOT good) AS errors
+FROM e GROUP BY src_ip""" for q in ("flows_to_incidents", "stream_flows_to_incidents")},
     **{q: f"""WITH f AS ({FULL}), g AS (SELECT *, CASE WHEN flow_duration IS NULL THEN 'flow_duration' ELSE '' END AS nan_features,
   CASE WHEN isinf(flow_bytes_s) THEN 'flow_bytes_s' ELSE '' END AS inf_features FROM f),
 h AS (SELECT *, nan_features = '' AND inf_features = '' AS good FROM g)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.adapters import load, table
@@ -13,8 +14,8 @@ from threatlake.operators import (
     alerts as desk, answers, attack, behaviour, correlate, detection, enrichment, incidents as inc, isolation, models,
     quality, ranking,
 )
-from threatlake.plans import desk as desk_plan, detect as detect_plan
-from threatlake.session import materialise, scratch_path
+from threatlake.plans import desk as desk_plan, detect as detect_plan, investigate as investigate_plan
+from threatlake.session import materialise, scratch_name, scratch_path
 from threatlake.sources import alerts as alert_source, flows as flow_source, intel as intel_source
 from threatlake.streaming import jobs
 
@@ -62,6 +63,30 @@ def scan_flows(spark, sf):
     return flow_source.read_csv(spark, path, rows.schema)
 
 
+@query
+def scan_capture(spark, sf):
+    """Capture files whose header is padded, in another order and spelling and repeats a name, with broken lines in
+    between: the rows of the table, and how many lines were set aside."""
+    rows = load(spark, sf, "flows")
+    path = scratch_path(spark, "capture")
+    names = [*reversed(rows.columns), "dst_port"]
+    shown = [f" {n.replace('_', ' ').title()} " if i % 2 else f"  {n}" for i, n in enumerate(names)]
+    cell = lambda n: F.coalesce(F.date_format(n, "yyyy-MM-dd HH:mm:ss") if n == "ts" else F.col(n).cast("string"), F.lit(""))
+    line = F.concat_ws(",", *[cell(n) for n in names[:-1]], F.lit("-5"))
+    broken = rows.where("dst_port = 22 AND total_bwd_packets = 3").select(F.concat_ws(",", *[cell(n) if n != "dst_port" else F.lit("ssh") for n in names[:-1]], F.lit("-5")))
+    lines = rows.select(line.alias("value")).union(broken)
+    header = ",".join(shown)
+
+    def headed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], ["value"])
+
+    lines.mapInArrow(headed, "value string").write.text(path)
+    good, bad = flow_source.split_broken(flow_source.capture_csv(spark, path, rows.schema))
+    return good.withColumn("broken", bad.select(F.count("*")).scalar())
+
+
 @query
 def scan_alerts(spark, sf):
     rows = load(spark, sf, "desk_alerts")
@@ -225,8 +250,10 @@ def answer_documents(spark, sf):
 @query
 def assemble_event(spark, sf):
     rows = detect_plan.classify(load(spark, sf, "predicted_flows"))
-    out = detection.assemble(rows, ["flow_id"])
+    share = lambda m: F.create_map(F.lit(f"only_{m}"), F.lit(0.0), F.col(f"{m}_class"), F.coalesce(f"{m}_confidence", F.lit(0.5)))
+    out = detection.assemble(rows.withColumns({f"{m}_probabilities": share(m) for m in ("m3", "m4")}), ["flow_id"])
     return out.select(
+        F.array_join(F.array_sort(F.map_keys("probabilities")), ",").alias("map_classes"), F.col("probabilities")[F.col("classifications.m4.threat_class")].alias("map_m4"),
         "event_id", "timestamp", "threat_class", "decision", "confidence", "anomaly_score",
         F.col("source.src_ip").alias("src_ip"), F.col("destination.dst_ip").alias("dst_ip"),
         F.col("destination.dst_port").alias("dst_port"), F.col("classifications.m3.threat_class").alias("m3_class"),
@@ -698,16 +725,22 @@ def conform_intel(spark, sf):
 
 @query
 def model_reload(spark, sf):
-    """A saved model read back judges every row as before; a missing one is None."""
+    """Saved detectors read back judge every row as before, all three models; a missing one is None and neutral."""
     rows, found = fitted(spark, sf)
-    path = scratch_path(spark, "model")
-    models.save(found.m4, path)
-    again = models.load(spark, path)
-    one = models.apply_forest(rows.select("flow_id", "split", *FEATURES), found.m4, FEATURES, "m4")
-    two = models.apply_forest(one.drop("m4_probabilities").withColumnsRenamed({"m4_class": "class_1", "m4_confidence": "conf_1"}), again, FEATURES, "m4")
-    other = (F.col("class_1") != F.col("m4_class")) | (F.col("conf_1") != F.col("m4_confidence"))
-    none = models.load(spark, f"{path}-none") is None
-    return two.groupBy("split").agg(F.count("*").alias("n"), F.count_if(other).alias("other")).withColumn("none_found", F.lit(none))
+    path, part = scratch_path(spark, "detectors"), scratch_path(spark, "part")
+    found.save(path, spark)
+    detect_plan.Detectors(FEATURES, anomaly=found.anomaly).save(part, spark)
+    again, alone = detect_plan.Detectors.load(path, spark), detect_plan.Detectors.load(part, spark)
+    told = ("m4_class", "m4_confidence", "m3_class", "m3_confidence", "m4_anomaly")
+    out = rows.select("flow_id", "split", *FEATURES)
+    for name, d in (("one", found), ("two", again), ("three", alone)):
+        out = models.predict(out, FEATURES, d.m4, d.m3, d.anomaly).withColumn(name, F.struct(*told)).drop(*told, "m4_probabilities", "m3_probabilities")
+    differs = lambda *columns: F.count_if(F.lit(False) | ~F.struct(*[f"one.{c}" for c in columns]).eqNullSafe(F.struct(*[f"two.{c}" for c in columns])))
+    neutral = (F.col("three.m4_class") == "BENIGN") & (F.col("three.m3_confidence") == 0) & (F.col("three.m4_anomaly") == F.col("one.m4_anomaly"))
+    return out.groupBy("split").agg(
+        F.count("*").alias("n"), differs(*told[:2]).alias("other"), differs(*told[2:4]).alias("other_m3"), differs(told[4]).alias("other_anomaly"),
+        F.count_if(~neutral).alias("not_neutral"),
+    ).withColumn("none_found", F.lit(models.load(spark, f"{path}-none") is None and alone.m4 is None and alone.m3 is None))
 
 
 @query
@@ -734,7 +767,7 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, detect_plan.Detectors]:
     """All rows with their split, and the models fitted on training rows; once per session and tables."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (scratch_name(spark), sf)  # a new name after ``release``, which drops the tables of the old
     if key not in _FITTED:
         rows = quality.stratified_split(_labelled(spark, sf), "target", "flow_id", {"train": 0.7, "test": 0.3}, exact=True)
         # written with the verdict, so that the filter below doesn't repeat the check of 66 columns
@@ -744,32 +777,57 @@ def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, detect_plan.Detecto
         train = materialise(good.select("flow_id", "target", *FEATURES).orderBy(F.xxhash64("flow_id"), "flow_id").limit(TRAIN_ROWS), "train")
         m3, m4 = models.train_m3(train, FEATURES), models.train_m4(train, FEATURES)
         _FITTED[key] = rows, detect_plan.Detectors(FEATURES, m4, m3, isolation.fit(good, FEATURES, "flow_id"))
+        for stale in [k for k in _FITTED if k[0] != key[0]]:
+            del _FITTED[stale]
     return _FITTED[key]
 
 
-def _judged(spark: SparkSession, sf: str, prefix: str) -> DataFrame:
-    """Per class of the test rows: rows, confidences outside [1/k, 1], maps whose sum isn't 1, accuracy met."""
+def _scored_rows(spark: SparkSession, sf: str, prefix: str) -> DataFrame:
+    """Every row with its split, its label and what the model says."""
     rows, found = fitted(spark, sf)
     model = found.m3 if prefix == "m3" else found.m4
-    scored = models.apply_forest(rows.where("split = 'test'"), model, FEATURES, prefix)
-    least = 1 / len(models.labels_of(model)) - 1e-4
-    total = F.aggregate(F.map_values(f"{prefix}_probabilities"), F.lit(0.0), lambda a, x: a + x)
-    odd = ~F.col(f"{prefix}_confidence").between(least, 1.0)
-    right = F.avg(F.when(F.col("target").isNotNull(), (F.col("target") == F.col(f"{prefix}_class")).cast("double")))
-    reached = scored.agg(right).scalar() >= LEAST_ACCURACY
-    return scored.groupBy(F.coalesce("target", F.lit("none")).alias("target")).agg(
-        F.count("*").alias("n"), F.count_if(odd).alias("bad_confidence"), F.count_if(F.abs(total - 1) > 0.001).alias("bad_maps"),
-    ).withColumn("accuracy_met", reached)
+    return models.apply_forest(rows, model, FEATURES, prefix).select(
+        "flow_id", "split", "target", *[F.col(f"{prefix}_{c}").alias(c) for c in ("class", "confidence", "probabilities")])
 
 
 @query
 def train_m3(spark, sf):
-    return _judged(spark, sf, "m3")
+    return _scored_rows(spark, sf, "m3")
 
 
 @query
 def train_m4(spark, sf):
-    return _judged(spark, sf, "m4")
+    return _scored_rows(spark, sf, "m4")
+
+
+@query
+def train_check(spark, sf):
+    """Per model and class of the test rows: rows, confidences outside [1/k, 1], maps whose sum isn't 1, accuracy met."""
+    _, found = fitted(spark, sf)
+    out = None
+    for prefix, model in (("m3", found.m3), ("m4", found.m4)):
+        scored = _scored_rows(spark, sf, prefix).where("split = 'test'")
+        total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
+        odd = ~F.col("confidence").between(1 / len(models.labels_of(model)) - 1e-4, 1.0)
+        reached = scored.agg(F.avg(F.when(F.col("target").isNotNull(), (F.col("target") == F.col("class")).cast("double")))).scalar() >= LEAST_ACCURACY
+        part = scored.groupBy(F.lit(prefix).alias("model"), F.coalesce("target", F.lit("none")).alias("target")).agg(
+            F.count("*").alias("n"), F.count_if(odd).alias("bad_confidence"), F.count_if(F.abs(total - 1) > 0.001).alias("bad_maps"),
+        ).withColumn("accuracy_met", reached)
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query
+def flat_forest_check(spark, sf):
+    """The flattened forests against Spark's own, row by row: different classes, confidences and class maps."""
+    rows, found = fitted(spark, sf)
+    flat = models.predict(rows, FEATURES, found.m4, found.m3).select("flow_id", "split", *[f"{m}_{c}" for m in ("m3", "m4") for c in ("class", "confidence", "probabilities")])
+    walked = models.apply_forest(models.apply_forest(rows, found.m4, FEATURES, "m4"), found.m3, FEATURES, "m3")
+    told = lambda m: F.struct(F.col(f"{m}_class"), F.col(f"{m}_confidence"), F.map_entries(f"{m}_probabilities"))
+    both = flat.select("flow_id", "split", told("m3").alias("a3"), told("m4").alias("a4")).join(
+        walked.select("flow_id", told("m3").alias("b3"), told("m4").alias("b4")), "flow_id")
+    return both.groupBy("split").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("a3").eqNullSafe(F.col("b3"))).alias("other_m3"), F.count_if(~F.col("a4").eqNullSafe(F.col("b4"))).alias("other_m4"))
 
 
 @query
@@ -778,26 +836,46 @@ def class_weights(spark, sf):
     return models.balanced(rows, "target").groupBy("target").agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("weight"))
 
 
-@query
-def isolation_forest(spark, sf):
-    """All rows and three planted far ones: the planted come first, training scores span [0, 1]."""
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    """All flows and three far ones, scored."""
     flows = load(spark, sf, "flows").select("flow_id", *CORE_FEATURES)
     far = flows.orderBy("flow_id").limit(3).select(
         F.concat(F.lit("planted-"), "flow_id").alias("flow_id"), *[(F.lit(1e9) + F.coalesce(c, F.lit(0.0))).alias(c) for c in CORE_FEATURES])
     rows = materialise(flows.union(far), "planted")
-    scored = isolation.fit(rows, list(CORE_FEATURES), "flow_id").score(rows)
+    return isolation.fit(rows, list(CORE_FEATURES), "flow_id").score(rows)
+
+
+@query
+def isolation_forest(spark, sf):
+    """An anomaly level for every flow and three planted far ones."""
+    return _planted(spark, sf).select("flow_id", F.round("anomaly_score", 6).alias("anomaly_score"))
+
+
+@query
+def isolation_check(spark, sf):
+    """The planted rows come first, training scores span [0, 1]."""
     planted = F.col("flow_id").startswith("planted-")
-    return scored.agg(
+    return _planted(spark, sf).agg(
         F.count("*").alias("n"), F.min("anomaly_score").alias("low"), F.max("anomaly_score").alias("high"),
         (F.min(F.when(planted, F.col("anomaly_score"))) >= F.max(F.when(~planted, F.col("anomaly_score")))).alias("planted_first"),
     )
 
 
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    rows, found = fitted(spark, sf)
+    return detect_plan.classify(models.predict(rows, FEATURES, found.m4, found.m3, found.anomaly))
+
+
 @query
 def predict_batch(spark, sf):
+    """The verdict on every row: class, confidence, anomaly score, decision, severity."""
+    return _verdicts(spark, sf).select("flow_id", "split", "threat_class", "confidence", "anomaly_score", "decision", "severity")
+
+
+@query
+def predict_check(spark, sf):
     """Per split: rows, verdicts that the rules recomputed from their parts would not give, scores out of range."""
-    rows, found = fitted(spark, sf)
-    out = detect_plan.classify(models.predict(rows, FEATURES, found.m4, found.m3, found.anomaly))
+    out = _verdicts(spark, sf)
     again = scoring.decision(F.col("threat_class"), F.col("confidence"), F.col("anomaly_score"))
     level = scoring.severity(again, F.col("threat_class"))
     takes_m3 = F.col("m3_class").isin("DDOS", "PORT_SCAN") & (F.col("m3_confidence") >= 0.7) & (F.col("m4_class") == "BENIGN")
@@ -840,3 +918,47 @@ def stream_detect_flows(spark, sf):
     flows = _stream(spark, sf, "lineitem", "full_flows")
     jobs.flow_stream(flows, found, ["flow_id"], out, mark, available_now=True).awaitTermination()
     return _told(spark.read.parquet(out))
+
+
+#: Rows of ``full_flows`` that come as events: they have a class and need no model.
+KNOWN = "label = 'DDoS' AND total_fwd_packets >= 30"
+
+
+def _mixed_flows(spark: SparkSession, sf: str) -> DataFrame:
+    known = F.expr(KNOWN)
+    return load(spark, sf, "full_flows").withColumns({
+        "threat_class": F.when(known, "DDOS"), "confidence": F.when(known, F.lit(0.9)), "anomaly_score": F.when(known, F.lit(0.75))})
+
+
+def _incident_facts(incidents: DataFrame, events: DataFrame, errors: DataFrame) -> DataFrame:
+    """What of the incidents rests on order, keys and contract, with the number of classified events and of errors."""
+    known = events.where("threat_class = 'DDOS' AND confidence = 0.9 AND anomaly_score = 0.75").groupBy(F.col("src_ip").alias("source_entity")).agg(F.count("*").alias("classified"))
+    return incidents.join(known, "source_entity", "left").select(
+        "incident_id", "source_entity", "target_entity", "event_count", "created_at", "updated_at",
+        (F.coalesce("classified", F.lit(0)) >= 1).alias("has_classified"), errors.select(F.count("*")).scalar().alias("errors"),
+    )
+
+
+@query
+def flows_to_incidents(spark, sf):
+    """Raw flows, some of them classified already, to incidents in one call; broken rows are counted."""
+    _, found = fitted(spark, sf)
+    done = investigate_plan.investigate_flows(_mixed_flows(spark, sf), load(spark, sf, "intel"), found, ["flow_id"], ["ts", "flow_id"])
+    return _incident_facts(done.incidents, done.events, done.errors)
+
+
+@query
+def stream_flows_to_incidents(spark, sf):
+    """The same as a stream that stops and goes on: three arrivals in order of time, each picked up from the checkpoint."""
+    _, found = fitted(spark, sf)
+    flows = _mixed_flows(spark, sf)
+    drop, events, errors, table_, mark, mark2 = (scratch_path(spark, p) for p in ("drop", "events", "errors", "incidents", "mark", "mark"))
+    inbox = None
+    for low, high in (("1990", "1994"), ("1994", "1996"), ("1996", "2990")):
+        flows.where(f"ts >= TIMESTAMP '{low}-01-01 00:00:00' AND ts < TIMESTAMP '{high}-01-01 00:00:00'").write.mode("append").parquet(drop)
+        inbox = flow_source.stream(spark, drop, flows.schema, 1 << 20)
+        jobs.event_stream(inbox, found, ["flow_id"], ["ts", "flow_id"], events, errors, mark, available_now=True).awaitTermination()
+    found_events = flow_source.stream(spark, events, spark.read.parquet(events).schema, 1 << 20)
+    jobs.incident_stream(found_events, load(spark, sf, "intel"), table_, mark2, available_now=True).awaitTermination()
+    latest = jobs.latest_snapshots(spark.read.parquet(table_))
+    return _incident_facts(latest, spark.read.parquet(events), spark.read.parquet(errors))

@@ -98,12 +98,13 @@ def first_by_id(alerts: DataFrame, key: str = "alert_id", order: str = "arrival_
 
 
 def new_alerts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """First arrivals whose id is not stored yet.
+    """First arrivals whose id is not stored yet. A row without an id can't be told from a stored one: it is not
+    accepted (the contract check reports it), or each replay would add it again.
 
     The stored ids are filtered by the arriving ids first: a large store is scanned, but only matching ids
     are shuffled further.
     """
-    fresh = first_by_id(incoming)
+    fresh = first_by_id(incoming.where(F.col("alert_id").isNotNull()))
     taken = stored.select("alert_id").join(fresh.select("alert_id"), "alert_id", "left_semi").distinct()
     return fresh.join(taken, "alert_id", "left_anti")
 

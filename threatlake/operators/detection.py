@@ -36,13 +36,17 @@ def _dst_port(df: DataFrame) -> Column:
 def endpoints(df: DataFrame, slots: dict[str, list[str]]) -> DataFrame:
     """Fill each endpoint column from the first usable candidate; ports keep digits only.
 
-    NULL, empty text and the number 0 are passed over; the text ``0`` is a value.
+    NULL, empty text and the number 0 are passed over; the text ``0`` is a value. A whole number in a fractional
+    column is read as that number.
     """
 
     def usable(name: str) -> Column:
-        nothing = 0 if isinstance(df.schema[name].dataType, T.NumericType) else ""
+        kind = df.schema[name].dataType
         value = F.col(f"`{name}`")
-        return F.when(value != nothing, value).cast("string")
+        if isinstance(kind, T.FractionalType):
+            whole = F.when(value == F.floor(value), value.try_cast("bigint").cast("string"))
+            return F.when(value != 0, F.coalesce(whole, value.cast("string")))
+        return F.when(value != (0 if isinstance(kind, T.NumericType) else ""), value).cast("string")
 
     picked = {}
     for slot, names in slots.items():
@@ -78,7 +82,8 @@ def raise_alerts(df: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 def assemble(df: DataFrame, keys: list[str], ingest_time: Column | None = None, keep: list[str] = ()) -> DataFrame:
     """Nested threat-event rows after any ``keep`` columns; ids are a hash of ``keys`` so that a rerun yields the same ids.
 
-    ``probabilities`` is the class map of the model whose verdict stands, where the models give one.
+    ``probabilities`` is the class map of the broad model (m4), also where the other model's verdict stands; each
+    model's own map is under ``classifications``.
     """
     event_id = row_id(*[F.col(k) for k in keys])
 
@@ -86,7 +91,6 @@ def assemble(df: DataFrame, keys: list[str], ingest_time: Column | None = None,
         return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
     classes = "map<string, double>"
-    m3_stands = scoring.prefers_m3(known("m3_class", "string"), known("m3_confidence", "double"), known("m4_class", "string"), DEFAULTS)
     time = ingest_time if ingest_time is not None else known("ts", "timestamp")
     return df.select(
         *keep,
@@ -94,7 +98,7 @@ def assemble(df: DataFrame, keys: list[str], ingest_time: Column | None = None,
         event_id.alias("event_id"),
         time.alias("timestamp"),
         "threat_class", "decision", "confidence", "anomaly_score",
-        F.when(m3_stands, known("m3_probabilities", classes)).otherwise(known("m4_probabilities", classes)).alias("probabilities"),
+        known("m4_probabilities", classes).alias("probabilities"),
         known("decision_reason", "string").alias("decision_reason"),
         F.struct(known("src_ip", "string").alias("src_ip"), known("src_port", "int").alias("src_port")).alias("source"),
         F.struct(known("dst_ip", "string").alias("dst_ip"), known("dst_port", "int").alias("dst_port")).alias("destination"),

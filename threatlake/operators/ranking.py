@@ -11,6 +11,8 @@ it broadcasts them while small and otherwise sort-merges with skew splitting.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from threatlake.session import materialise
@@ -36,20 +38,25 @@ def _earlier(slices: DataFrame, keys: list[str], amount: str) -> DataFrame:
     return slices.withColumn(_BEFORE, F.coalesce(F.sum(amount).over(before), F.lit(0)))
 
 
-def _sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def _sliced(df: DataFrame, keys: list[str], order: list[str], table: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     placed = df.repartitionByRange(*[F.col(k) for k in [*keys, *order]]).sortWithinPartitions(*keys, *order)
     numbered = placed.withColumns({
         _SLICE: F.spark_partition_id(),
         _ROW: F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK)),
     })
-    return materialise(numbered, "sliced")
+    return table(numbered, "sliced")
+
 
+def ranked(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "position", table: Callable[[DataFrame, str], DataFrame] = materialise,
+) -> DataFrame:
+    """1-based position of each row in its group. ``order`` must tell rows of a group apart.
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
-    """1-based position of each row in its group. ``order`` must tell rows of a group apart."""
-    rows = _sliced(df, keys, order)
+    ``table`` writes what is read twice: ``Scratch.table`` where the result is written before its block ends.
+    """
+    rows = _sliced(df, keys, order, table)
     runs = rows.groupBy(*keys, _SLICE).agg(F.min(_ROW).alias(_ROW + "0"), F.count("*").alias("__n"))
-    out = _join_slices(rows, materialise(_earlier(runs, keys, "__n"), "slices"), keys)
+    out = _join_slices(rows, table(_earlier(runs, keys, "__n"), "slices"), keys)
     place = F.col(_BEFORE) + F.col(_ROW) - F.col(_ROW + "0") + 1
     return out.withColumn(name, place).drop(_SLICE, _ROW, _ROW + "0", _BEFORE)
 

@@ -58,6 +58,11 @@ def _database(spark: SparkSession) -> str:
     return _DATABASES[app]
 
 
+def scratch_name(spark: SparkSession) -> str:
+    """Name of the database of scratch tables; another one after ``release``."""
+    return _database(spark)
+
+
 class Scratch:
     """Written tables that cut lineage, as a context that deletes what it made.
 

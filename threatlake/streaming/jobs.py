@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -12,7 +12,7 @@ from threatlake.functions.scoring import DEFAULTS, Thresholds
 from threatlake.operators.alerts import new_alerts
 from threatlake.operators.incidents import incidents, investigated
 from threatlake.plans.desk import accept
-from threatlake.plans.detect import Detectors, detect, detect_flows
+from threatlake.plans.detect import Detectors, arrived, detect, detect_flows, flat_events, quarantine
 from threatlake.session import Scratch
 
 
@@ -71,6 +71,27 @@ def flow_stream(flows: DataFrame, detectors: Detectors, keys: list[str], path: s
     return _start(out.writeStream.format("parquet").partitionBy("status").option("path", path), checkpoint, available_now)
 
 
+def event_stream(
+    flows: DataFrame, detectors: Detectors, keys: list[str], order: list[str], events: str, errors: str, checkpoint: str,
+    carry: Sequence[str] = (), available_now: bool = False,
+) -> StreamingQuery:
+    """Raw or classified flows -> flat events with their arrival sequence, and a quarantine, a folder per micro-batch.
+
+    A replayed micro-batch has the same rows, so it numbers them alike and replaces its own folders. The events
+    are the input of ``incident_stream``: read them with ``sources.flows.stream``.
+    """
+    more = list(dict.fromkeys([c for c in (*order, *carry) if c not in keys and c != "ts"]))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with Scratch(batch.sparkSession) as work:
+            detected = work.table(detect_flows(batch, detectors, keys, carry=more), "detected")
+            placed = arrived(flat_events(detected, keys, more), order, batch_id, work.table)
+            placed.write.mode("overwrite").parquet(f"{events}/batch_id={batch_id}")
+            quarantine(detected, keys).write.mode("overwrite").parquet(f"{errors}/batch_id={batch_id}")
+
+    return _start(flows.writeStream.foreachBatch(write), checkpoint, available_now)
+
+
 def alert_stream(bodies: DataFrame, table: str, rejects: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Ingest alert documents: check, refuse stored ids, append; bad documents go to ``rejects``.
 
