@@ -323,7 +323,11 @@ SELECT label, count(*) AS n, round(quantile_cont(total_fwd_bytes, 0.5), 4) AS p5
     "incidents": f"WITH {RUNNING} SELECT * FROM inc",
     "attack_chain": f"""WITH {DECIDED}, c AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY ts, arrival_seq) AS stage_id FROM s)
 SELECT src_ip AS entity_key, stage_id, CASE WHEN stage_id = 1 THEN 'OBSERVED' ELSE 'CORRELATED' END AS stage_status, event_id, ts, threat_class, decision, severity, confidence FROM c""",
-    "running_risk": f"WITH {RUNNING} SELECT event_id, src_ip AS entity_key, events_so_far, risk_score, {LEVEL} AS risk_level FROM r",
+    **{q: f"WITH {RUNNING} SELECT event_id, src_ip AS entity_key, events_so_far, risk_score, {LEVEL} AS risk_level FROM r" for q in ("running_risk", "stream_running_risk")},
+    "stream_late_rows": f"""WITH e AS (SELECT event_id, ts, arrival_seq % 4 AS batch FROM ({EVENTS}) x),
+m AS (SELECT b AS batch, (SELECT max(ts) FROM e WHERE e.batch < b) - INTERVAL '10 minutes' AS watermark FROM range(4) t(b))
+SELECT event_id, batch, CASE WHEN time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' <= watermark
+  THEN strftime(watermark, '%Y-%m-%d %H:%M:%S') ELSE '' END AS missed FROM e JOIN m USING (batch)""",
     "sliding_count": f"""WITH e AS (SELECT *, epoch_us(date_trunc('second', ts)) // 1000000 AS sec FROM ({EVENTS}) x)
 SELECT event_id, src_ip, count(*) OVER (PARTITION BY src_ip ORDER BY sec RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS recent_count FROM e""",
     "session_groups": f"""WITH e AS (SELECT * FROM ({EVENTS}) y WHERE arrival_seq % 37 <> 0),

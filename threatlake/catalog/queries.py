@@ -18,6 +18,7 @@ from threatlake.plans import desk as desk_plan, detect as detect_plan, investiga
 from threatlake.session import materialise, scratch_name, scratch_path
 from threatlake.sources import alerts as alert_source, flows as flow_source, intel as intel_source
 from threatlake.streaming import jobs
+from threatlake.streaming.keyed import SEED, KeyedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -631,11 +632,40 @@ def stream_alerts(spark, sf):
     stored, incoming = _stored_and_incoming(spark, sf)
     start, _ = desk_plan.accept(desk.to_bodies(stored))
     home, rejects, drop, mark = (scratch_path(spark, p) for p in ("alerts", "rejects", "inbox", "mark"))
-    alert_source.reset_table(start, home)
+    store = KeyedTable(home, "alert_id", start.schema, 32)
+    store.write(start, SEED)
     desk.to_bodies(incoming).select("arrival_seq", "body").write.parquet(drop)
     inbox = alert_source.stream(spark, drop, spark.read.parquet(drop).schema)
-    jobs.alert_stream(inbox, home, rejects, mark, available_now=True).awaitTermination()
-    return spark.read.parquet(home).select("alert_id", "arrival_seq", "severity")
+    jobs.keyed_alert_stream(inbox, store, rejects, mark, available_now=True).awaitTermination()
+    return store.read(spark).select("alert_id", "arrival_seq", "severity")
+
+
+@query
+def stream_running_risk(spark, sf):
+    """The state of each event's incident, from a stream of three arrivals that stops and goes on."""
+    events, intel = _events(spark, sf), load(spark, sf, "intel")
+    drop, out, state, mark = (scratch_path(spark, p) for p in ("drop", "running", "totals", "mark"))
+    totals = KeyedTable(state, "entity_key", jobs.TOTALS, 32)
+    totals.write(spark.createDataFrame([], jobs.TOTALS), SEED)
+    last = events.agg(F.max("arrival_seq")).first()[0] or 0
+    for part in range(3):
+        events.where(F.col("arrival_seq").between(part * last // 3 + (part > 0), (part + 1) * last // 3)).write.mode("append").parquet(drop)
+        inbox = flow_source.stream(spark, drop, events.schema, 1 << 20)
+        jobs.running_stream(inbox, intel, totals, out, mark, available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "entity_key", "events_so_far", "risk_score", "risk_level")
+
+
+@query
+def stream_late_rows(spark, sf):
+    """Four arrivals, each reaching back: every row once, late ones with the batch and the watermark that they missed."""
+    events = _events(spark, sf)
+    drop, good, late, marks, mark = (scratch_path(spark, p) for p in ("drop", "in-time", "late", "marks", "mark"))
+    for part in range(4):
+        events.where(F.col("arrival_seq") % 4 == part).write.mode("append").parquet(drop)
+        inbox = flow_source.stream(spark, drop, events.schema, 1 << 20)
+        jobs.late_rows(inbox, good, late, marks, mark, available_now=True).awaitTermination()
+    told = lambda path, missed: spark.read.parquet(path).select("event_id", F.col("batch_id").cast("bigint").alias("batch"), missed.alias("missed"))
+    return told(good, F.lit("")).union(told(late, F.date_format("watermark", "yyyy-MM-dd HH:mm:ss")))
 
 
 @query

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from threatlake.functions.scoring import DEFAULTS, Thresholds
 from threatlake.operators.alerts import new_alerts
-from threatlake.operators.incidents import incidents, investigated
+from threatlake.operators.incidents import incidents, investigated, keyed, rated
+from threatlake.operators.ranking import ranked
 from threatlake.plans.desk import accept
 from threatlake.plans.detect import Detectors, arrived, detect, detect_flows, flat_events, quarantine
 from threatlake.session import Scratch
+from threatlake.streaming.keyed import KeyedTable
 
 
 class QualityCounters(StreamingQueryListener):
@@ -111,6 +113,76 @@ def alert_stream(bodies: DataFrame, table: str, rejects: str, checkpoint: str, a
     return _start(bodies.writeStream.foreachBatch(ingest), checkpoint, available_now)
 
 
+def keyed_alert_stream(bodies: DataFrame, store: KeyedTable, rejects: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Ingest alert documents into a store keyed by ``alert_id``: check, refuse stored ids, write; bad documents go to ``rejects``.
+
+    A micro-batch looks its ids up in the buckets they fall into and reads no other. It sees the batches before it,
+    and a replay replaces its own rows, so a restart adds nothing twice. The store must exist: ``store.write(rows, SEED)``.
+    """
+
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        with Scratch(batch.sparkSession) as work:
+            good, bad = accept(batch, work=work)
+            store.write(new_alerts(store.lookup(good, batch_id), good), batch_id)
+            bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+
+    return _start(bodies.writeStream.foreachBatch(ingest), checkpoint, available_now)
+
+
+#: What ``running_stream`` keeps per source between micro-batches.
+TOTALS = T.StructType([T.StructField("entity_key", T.StringType()), T.StructField("total", T.LongType())])
+
+
+def running_stream(events: DataFrame, intel: DataFrame, totals: KeyedTable, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Incident state after each event, a folder per micro-batch: ``running_risk`` of all events so far.
+
+    The number of a source's events before the batch is looked up in ``totals`` (key ``entity_key``, schema
+    ``TOTALS``), positions inside the batch are counted in slices, so a source with a third of the rows is not one
+    task. Batches must come in the order of ``arrival_seq``; totals and rows of a replayed batch replace its own.
+    """
+
+    def follow(batch: DataFrame, batch_id: int) -> None:
+        with Scratch(batch.sparkSession) as work:
+            placed = work.table(ranked(keyed(batch), ["entity_key"], ["arrival_seq"], "place", table=work.table), "placed")
+            here = placed.groupBy("entity_key").agg(F.max("place").alias("n"))
+            stored = totals.lookup(here, batch_id)
+            before = stored.groupBy("entity_key").agg(F.max("total").alias("before"))
+            known = work.table(here.join(before, "entity_key", "left").select("entity_key", "n", F.coalesce("before", F.lit(0)).alias("before")), "known")
+            counted = placed.join(known.drop("n"), "entity_key").withColumn("events_so_far", F.col("place") + F.col("before")).drop("place", "before")
+            rated(counted, intel).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            totals.write(known.select("entity_key", (F.col("n") + F.col("before")).alias("total")), batch_id)
+
+    return _start(events.writeStream.foreachBatch(follow), checkpoint, available_now)
+
+
+def late_rows(
+    events: DataFrame, on_time: str, late: str, marks: str, checkpoint: str, size: str = "5 minutes", lateness: str = "10 minutes",
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Split a stream at its watermark: rows in time and, as rows too, those whose window was closed when they came.
+
+    The watermark of a micro-batch is the latest event time of all batches before it less ``lateness``, kept in
+    ``marks``, one row per batch. A row is late if the end of its window is not after it; it goes to ``late`` with its
+    ``batch_id`` and the ``watermark`` that it missed. Rows without a time are in time. Windows over ``on_time`` and the
+    late rows make up all rows.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.schema("batch_id long, latest timestamp").parquet(marks).where(F.col("batch_id") < batch_id) if batch_id else None
+        latest = seen.agg(F.max("latest")).first()[0] if seen is not None else None
+        mark = F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+        end = F.window(F.col("ts").cast("timestamp"), size)["end"]
+        behind = F.coalesce(end <= mark, F.lit(False)) if latest is not None else F.lit(False)
+        with Scratch(spark) as work:
+            rows = work.table(batch.withColumn("__late", behind), "split")
+            rows.where("NOT __late").drop("__late").write.mode("overwrite").parquet(f"{on_time}/batch_id={batch_id}")
+            rows.where("__late").drop("__late").withColumn("watermark", mark).write.mode("overwrite").parquet(f"{late}/batch_id={batch_id}")
+            rows.agg(F.max(F.col("ts").cast("timestamp")).alias("latest")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+
+    return _start(events.writeStream.foreachBatch(split), checkpoint, available_now)
+
+
 def alert_feed(alerts: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """One consumer of new alerts; every consumer has its own checkpoint and sees each alert."""
     return _start(alerts.writeStream.outputMode("append").foreachBatch(deliver), checkpoint, available_now)
