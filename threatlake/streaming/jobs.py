@@ -172,7 +172,9 @@ def late_rows(
         seen = spark.read.schema("batch_id long, latest timestamp").parquet(marks).where(F.col("batch_id") < batch_id) if batch_id else None
         latest = seen.agg(F.max("latest")).first()[0] if seen is not None else None
         mark = F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
-        end = F.window(F.col("ts").cast("timestamp"), size)["end"]
+        # not F.window, which drops rows without a time
+        micros, step = F.unix_micros(F.col("ts").cast("timestamp")), F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {size}"))
+        end = F.timestamp_micros(micros - F.pmod(micros, step) + step)
         behind = F.coalesce(end <= mark, F.lit(False)) if latest is not None else F.lit(False)
         with Scratch(spark) as work:
             rows = work.table(batch.withColumn("__late", behind), "split")
