@@ -26,6 +26,11 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *more)
 
 
+def own(docs: DataFrame, name: str) -> str:
+    """A column name that no column of ``docs`` has, in any spelling: longer than all of them."""
+    return name + "_" * max((len(c) for c in docs.columns), default=0)
+
+
 def plain_words(text: str | None) -> list[bytes]:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []

@@ -12,7 +12,8 @@ each one's partner and no pairs are listed. Every partnership is checked on the
 
 Before that, lines that can't have a partner are set aside without loss: one edit touches the first or the
 second half of a line, not both, so a line of which neither half's key occurs in a different line
-emits nothing. Only hashes are shuffled, but for the texts of lines that have a partner in sight.
+emits nothing. Hashes are shuffled, and the documents twice: to find the texts of lines that have a partner in
+sight, and to be cut.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threatlake.llm.common import give_back, steps, texts
+from threatlake.llm.common import give_back, own, steps, texts
 from threatlake.session import Scratch
 
 #: Lines of fewer words are only compared for equality: one word of few changes what they say.
@@ -242,18 +243,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the dropped lines cut from the texts, and ``__exact`` and ``__near``, the lines cut of either kind.
 
     Rows and other columns stay as they are; a null text stays null; rows that repeat id and text are
-    one document and lose the same lines.
+    one document and lose the same lines. A table that has a column ``__exact`` or ``__near`` keeps it, and gets no
+    count of that kind.
     """
     gone = dropped_lines(docs, id_col, text_col, min_words).distinct()
-    per_doc = gone.groupBy(_key(F.col("id"), F.col("th"))).agg(
-        F.collect_list("line").alias("__drop"),
-        F.count_if("near").alias("__near"), F.count_if(~F.col("near")).alias("__exact"),
+    key, drop, near, exact = (own(docs, n) for n in ("__key", "__drop", "__near", "__exact"))
+    per_doc = gone.groupBy(_key(F.col("id"), F.col("th")).alias(key)).agg(
+        F.collect_list("line").alias(drop), F.count_if("near").alias(near), F.count_if(~F.col("near")).alias(exact),
     )
-    marked = docs.withColumn("__key", _key(docs[id_col], F.xxhash64(docs[text_col])))
-    joined = marked.join(per_doc, "__key", "left")
-    hit = F.col("__drop").isNotNull()
-    cut = F.arrow_udf(_without, "string")(F.when(hit, F.col(text_col)), F.col("__drop"))
-    return joined.withColumns({
-        text_col: F.when(hit, cut).otherwise(F.col(text_col)),
-        "__near": F.coalesce("__near", F.lit(0)), "__exact": F.coalesce("__exact", F.lit(0)),
-    }).drop("__key", "__drop")
+    marked = docs.withColumn(key, _key(docs[id_col], F.xxhash64(docs[text_col])))
+    joined = marked.join(per_doc, key, "left")
+    hit = F.col(drop).isNotNull()
+    cut = F.arrow_udf(_without, "string")(F.when(hit, F.col(text_col)), F.col(drop))
+    out = joined.withColumn(text_col, F.when(hit, cut).otherwise(F.col(text_col)))
+    for name, count in (("__near", near), ("__exact", exact)):
+        if name not in docs.columns:
+            out = out.withColumn(name, F.coalesce(count, F.lit(0)))
+    return out.drop(key, drop, near, exact)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from threatlake.llm.common import own
 from threatlake.session import Scratch
 
 #: Separators of words `[^\x20\x09-\x0D]+`, as a regular expression and as characters.
@@ -181,7 +182,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps; their columns are unchanged."""
-    key = lambda id, th: F.concat_ws(":", id.isNull(), F.coalesce(id.cast("string"), F.lit("")), th).alias("__key")
+    name = own(docs, "__key")
+    key = lambda id, th: F.concat_ws(":", id.isNull(), F.coalesce(id.cast("string"), F.lit("")), th).alias(name)
     out = judge(docs, id_col, text_col).where(~F.col("kept")).select(key(F.col("id"), F.col("th"))).distinct()
-    marked = docs.withColumn("__key", key(docs[id_col], F.xxhash64(docs[text_col].cast("string"))))
-    return marked.join(out, "__key", "left_anti").drop("__key")
+    marked = docs.withColumn(name, key(docs[id_col], F.xxhash64(docs[text_col].cast("string"))))
+    return marked.join(out, name, "left_anti").drop(name)

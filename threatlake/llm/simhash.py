@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from threatlake.llm.common import arrow_map, texts
+from threatlake.llm.common import arrow_map, own, texts
 from threatlake.llm.components import components
 from threatlake.session import Scratch
 
@@ -196,8 +196,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat both id and text of the document that stays are repeats of it and go as well.
     """
-    key = lambda id, th: F.concat_ws(":", id.isNull(), F.coalesce(id.cast("string"), F.lit("")), th).alias("__key")
+    name = own(docs, "__key")
+    key = lambda id, th: F.concat_ws(":", id.isNull(), F.coalesce(id.cast("string"), F.lit("")), th).alias(name)
     classes = near_duplicates(docs, id_col, text_col, distance)
     kept = classes.where("stays").select(key(F.col("id"), F.col("th"))).distinct()
-    marked = docs.withColumn("__key", key(docs[id_col], F.xxhash64(docs[text_col])))
-    return marked.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    marked = docs.withColumn(name, key(docs[id_col], F.xxhash64(docs[text_col])))
+    return marked.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
