@@ -9,7 +9,7 @@ from threatlake.adapters import load
 from threatlake.operators import alerts as desk, incidents as inc
 from threatlake.plans.desk import accept
 from threatlake.sources import flows as source
-from threatlake.streaming import jobs
+from threatlake.streaming import jobs, sessions
 from threatlake.streaming.keyed import SEED, KeyedTable
 
 
@@ -108,3 +108,58 @@ def test_late_rows(spark, events, tmp_path):
     assert missed.count() > 10 and kept.where("ts IS NULL").count() == rows.where("ts IS NULL").count()
     counts = jobs.windowed(kept.where("ts IS NOT NULL")).agg(F.sum("event_count")).first()[0]
     assert counts + missed.count() == rows.where("ts IS NOT NULL").count()
+
+
+GAP, LATENESS = 3 * 3600, 2 * 86400
+
+
+def slow_sessions(rows):
+    """Sessions of (source, time) rows by walking them in order."""
+    out = []
+    for src, ts in sorted(rows):
+        if out and out[-1][0] == src and (ts - out[-1][2]).total_seconds() <= GAP:
+            out[-1][2], out[-1][3] = ts, out[-1][3] + 1
+        else:
+            out.append([src, ts, ts, 1])
+    return sorted(map(tuple, out))
+
+
+def test_session_log(spark, events, tmp_path):
+    """The log applied is the sessions of all rows in time, one source holds most; a batch runs twice; finished ones leave."""
+    n = F.col("arrival_seq")
+    rows = events.withColumns({
+        "src_ip": F.when(n % 10 < 6, F.lit("10.0.0.1")).when(n % 31 == 7, None).otherwise(F.col("src_ip")),
+        "ts": F.when(n % 50 != 0, F.col("ts")),
+    }).cache()
+    drop, log, late, state = (str(tmp_path / p) for p in ("drop", "log", "late", "state"))
+    mark = tmp_path / "mark"
+    day = F.dayofmonth(F.coalesce("ts", F.lit("2024-01-02").cast("timestamp_ntz")))
+    run = lambda: sessions.session_log(source.stream(spark, drop, rows.schema), log, late, state, str(mark), GAP, LATENESS, available_now=True).awaitTermination()
+    for part in range(5):  # each reaches back a day, and a few rows much further
+        rows.where(F.least(F.floor((day + (n % 2) + F.when(n % 40 == 3, 9).otherwise(0)) / 8), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(drop)
+        run()
+        if part in (1, 3):
+            before = told(spark.read.parquet(log)), told(spark.read.parquet(late))
+            again(mark, part)
+            run()
+            assert before == (told(spark.read.parquet(log)), told(spark.read.parquet(late)))
+    missed = {r["event_id"]: r for r in spark.read.parquet(late).collect()}
+    timed = [r for r in rows.collect() if r["src_ip"] is not None and r["ts"] is not None]
+    kept = [(r["src_ip"], r["ts"]) for r in timed if r["event_id"] not in missed]
+    assert missed and all(r["ts"] < r["watermark"] for r in missed.values())
+    found = sessions.current_sessions(spark.read.parquet(log)).collect()
+    assert sorted((r["src_ip"], r["session_start"], r["session_end"], r["event_count"]) for r in found) == slow_sessions(kept)
+    last = spark.read.parquet(log).agg(F.max("batch_id")).first()[0]
+    still = {(r["src_ip"], r["session_start"]) for r in sessions.open_sessions(spark, state, last).collect()}
+    assert still == {(r["src_ip"], r["session_start"]) for r in found if not r["finished"]} and 0 < len(still) < len(found)
+    changes = spark.read.parquet(log).collect()
+    assert len({(r["batch_id"], r["src_ip"], r["session_start"]) for r in changes}) == len(changes)
+    sets = {(r["batch_id"], r["src_ip"], r["session_start"]) for r in changes if r["change"] == "set"}
+    gone = [r for r in changes if r["change"] == "retract"]
+    assert gone and all((r["batch_id"], r["src_ip"], r["replaced_by"]) in sets and r["replaced_by"] < r["session_start"] for r in gone)
+    done = {}
+    for r in sorted(changes, key=lambda r: r["batch_id"]):  # a finished session is never touched again
+        key = (r["src_ip"], r["session_start"])
+        assert key not in done
+        if r["finished"]:
+            done[key] = r

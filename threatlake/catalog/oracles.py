@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from threatlake.adapters import sql_text
-from threatlake.catalog.queries import ADDRESSES, ENDPOINT_VARIANTS
+from threatlake.catalog.queries import ADDRESSES, ENDPOINT_VARIANTS, LOG_GAP, LOG_LATENESS
 from threatlake.contracts import ANALYSIS_FIELDS, CORRELATION_FIELDS
 from threatlake.operators.alerts import ASK_MANY, ASK_ONE
 
@@ -406,6 +406,11 @@ FROM inc JOIN p ON inc.source_entity = p.src_ip""",
 b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY src_ip ORDER BY ts) <= INTERVAL '5 minutes' THEN 0 ELSE 1 END AS brk FROM e),
 n AS (SELECT *, sum(brk) OVER (PARTITION BY src_ip ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM b)
 SELECT src_ip, min(ts) AS session_start, max(ts) + INTERVAL '5 minutes' AS session_end, count(*) AS event_count FROM n GROUP BY src_ip, no""",
+    "stream_session_log": f"""WITH e AS ({EVENTS}),
+b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY src_ip ORDER BY ts) <= to_seconds({LOG_GAP}) THEN 0 ELSE 1 END AS brk FROM e),
+n AS (SELECT *, sum(brk) OVER (PARTITION BY src_ip ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM b),
+s AS (SELECT src_ip, min(ts) AS session_start, max(ts) AS session_end, count(*) AS event_count FROM n GROUP BY src_ip, no)
+SELECT *, session_end < (SELECT max(ts) FROM e) - to_seconds({LOG_GAP + LOG_LATENESS}) AS finished, true AS retracted, CAST(0 AS BIGINT) AS late FROM s""",
     **{q: f"WITH {APPEND} SELECT alert_id, arrival_seq, severity FROM st" for q in ("alert_feed", "reset_and_seed")},
     "intel_documents": f"""SELECT 'Domain' AS ioc_type, domain AS value, CASE WHEN min(page_id) % 3 = 0 THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END AS reputation,
   min(page_id) % 100 / 100.0::DOUBLE AS confidence, 'pages' AS source FROM ({DOMAINS}) d GROUP BY domain""",

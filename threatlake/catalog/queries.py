@@ -17,7 +17,7 @@ from threatlake.operators import (
 from threatlake.plans import desk as desk_plan, detect as detect_plan, investigate as investigate_plan
 from threatlake.session import materialise, scratch_name, scratch_path
 from threatlake.sources import alerts as alert_source, flows as flow_source, intel as intel_source
-from threatlake.streaming import jobs
+from threatlake.streaming import jobs, sessions
 from threatlake.streaming.keyed import SEED, KeyedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -694,6 +694,30 @@ def stream_sessions(spark, sf):
     return spark.read.parquet(out).select("src_ip", "session_start", "session_end", "event_count")
 
 
+#: Arrivals of ``stream_session_log`` come from ever later thirds of the time span, two from each, so that the second
+#: reaches back; a silence of six hours ends a session.
+LOG_GAP, LOG_LATENESS = 6 * 3600, 11 * 86400
+
+
+@query
+def stream_session_log(spark, sf):
+    """Sessions from the change log of a stream of six arrivals that stops and goes on, with the batch that finished
+    each, the number of retractions and of rows that came late."""
+    events = _events(spark, sf)
+    drop, log, late, state, mark = (scratch_path(spark, p) for p in ("drop", "session-log", "late", "open", "mark"))
+    for third in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2900-01-01")):
+        for turn in range(2):
+            arrived = events.where(F.col("ts").between(*[F.lit(t).cast("timestamp_ntz") for t in third]) & (F.col("arrival_seq") % 2 == turn))
+            arrived.write.mode("append").parquet(drop)
+            inbox = flow_source.stream(spark, drop, events.schema, 1 << 20)
+            sessions.session_log(inbox, log, late, state, mark, LOG_GAP, LOG_LATENESS, available_now=True).awaitTermination()
+    changes = spark.read.parquet(log)
+    return sessions.current_sessions(changes).withColumns({
+        "retracted": changes.where("change = 'retract'").select(F.count("*")).scalar() > 0,
+        "late": spark.read.parquet(late).select(F.count("*")).scalar(),
+    })
+
+
 @query
 def stream_late(spark, sf):
     """Three files, each reaching back behind the one before: without a watermark late rows count."""
