@@ -61,6 +61,22 @@ def ranked(
     return out.withColumn(name, place).drop(_SLICE, _ROW, _ROW + "0", _BEFORE)
 
 
+def with_previous(df: DataFrame, keys: list[str], order: list[str], fields: list[str], name: str = "previous") -> DataFrame:
+    """Each row with the struct ``fields`` of the row before it in its group, NULL for the first.
+
+    ``keys`` are not null and ``order`` tells rows of a group apart. Inside a slice it is the row before; the first row of a
+    slice looks at the last one of the slice before, so what crosses slices is one row per slice.
+    """
+    rows = _sliced(df, keys, order)
+    ends = rows.groupBy(_SLICE).agg(F.max_by(F.struct(*keys, F.struct(*fields).alias("__row")), _ROW).alias("__end"))
+    edges = ends.select(F.col(_SLICE).alias("__at"), F.lag("__end").over(W.orderBy(_SLICE)).alias("__end"))
+    inside = F.lag(F.struct(*fields)).over(W.partitionBy(*keys, _SLICE).orderBy(_ROW))
+    near = rows.withColumn(name, inside)
+    joined = near.join(materialise(edges, "edges"), F.col(_SLICE) == F.col("__at"), "left")
+    same = F.struct(*keys) == F.struct(*[F.col(f"__end.{k}") for k in keys])
+    return joined.withColumn(name, F.coalesce(name, F.when(same, F.col("__end.__row")))).drop(_SLICE, _ROW, "__at", "__end")
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str = "before") -> DataFrame:
     """Sum of ``amount`` over the earlier rows of the group (0 for the first)."""
     rows = _sliced(df, keys, order).drop(_ROW)
