@@ -414,6 +414,9 @@ SELECT *, session_end < (SELECT max(ts) FROM e) - to_seconds({LOG_GAP + LOG_LATE
     **{q: f"WITH {APPEND} SELECT alert_id, arrival_seq, severity FROM st" for q in ("alert_feed", "reset_and_seed")},
     "intel_documents": f"""SELECT 'Domain' AS ioc_type, domain AS value, CASE WHEN min(page_id) % 3 = 0 THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END AS reputation,
   min(page_id) % 100 / 100.0::DOUBLE AS confidence, 'pages' AS source FROM ({DOMAINS}) d GROUP BY domain""",
+    "provider_intel": f"""SELECT 'Domain' AS ioc_type, domain AS value, CASE min(page_id) % 3 WHEN 0 THEN 'MALICIOUS' WHEN 1 THEN 'SUSPICIOUS' ELSE 'UNKNOWN' END AS reputation,
+  CASE WHEN min(page_id) % 5 <> 0 THEN min(page_id) % 100 / 100.0::DOUBLE ELSE 0 END AS confidence, 'pages' AS source, concat('c2,', domain) AS categories, 'file' AS hash_type
+  FROM ({DOMAINS}) d GROUP BY domain""",
     "conform_intel": f"""SELECT 'Domain' AS ioc_type, domain AS value, 'SUSPICIOUS' AS reputation, max(page_id) % 50 / 50.0::DOUBLE AS confidence,
   concat('feed-', lpad(CAST(max(page_id) AS VARCHAR), 6, '0')) AS source, 'none' AS threat_actor FROM ({DOMAINS}) d GROUP BY domain""",
     "model_reload": f"WITH {_SPLIT} SELECT split, count(*) AS n, 0 AS other, 0 AS other_m3, 0 AS other_anomaly, 0 AS not_neutral, true AS none_found FROM s GROUP BY 1",

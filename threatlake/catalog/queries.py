@@ -16,7 +16,7 @@ from threatlake.operators import (
 )
 from threatlake.plans import desk as desk_plan, detect as detect_plan, investigate as investigate_plan
 from threatlake.session import materialise, scratch_name, scratch_path
-from threatlake.sources import alerts as alert_source, flows as flow_source, intel as intel_source
+from threatlake.sources import alerts as alert_source, flows as flow_source, intel as intel_source, providers
 from threatlake.streaming import jobs, sessions
 from threatlake.streaming.keyed import SEED, KeyedTable
 
@@ -768,6 +768,28 @@ def intel_documents(spark, sf):
     return intel_source.read_intel(spark, domains=f"{path}/*.txt").select("ioc_type", "value", "reputation", "confidence", "source")
 
 
+@query
+def provider_intel(spark, sf):
+    """A provider over a table of documents in several files, some broken, asked for its domains as a reputation table."""
+    names = load(spark, sf, "domains").groupBy("domain").agg(F.min("page_id").alias("page_id"))
+    entry = F.struct(
+        F.when(F.col("page_id") % 3 == 0, "MALICIOUS").when(F.col("page_id") % 3 == 1, "SUSPICIOUS").alias("reputation"),
+        F.when(F.col("page_id") % 5 != 0, F.col("page_id") % 100 / 100).alias("confidence"), F.lit("pages").alias("source"),
+        F.array(F.lit("c2"), F.col("domain")).alias("categories"), F.lit("file").alias("type"),
+    )
+    # a document per 100 pages of ids, so that documents are as many as the table is long
+    pair = lambda key: F.map_from_entries(F.collect_list(F.struct(key.alias("key"), entry.alias("entry"))))
+    docs = names.groupBy(F.floor(F.col("page_id") / 100).alias("part")).agg(
+        F.to_json(pair(F.col("domain"))).alias("domain"), F.to_json(F.struct(pair(F.sha2("domain", 256)).alias("known_hashes"))).alias("hash"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("document")) for k in ("domain", "hash")], F.struct(
+        F.lit("domain").alias("kind"), F.substring("domain", 1, 30).alias("document")))
+    path = scratch_path(spark, "provider")
+    docs.select(F.inline(kinds)).repartition(4).write.parquet(path)
+    providers.register(spark)
+    rows = spark.read.format("threat_intel").option("types", "Domain").load(path)
+    return intel_source.conform(rows).select("ioc_type", "value", "reputation", "confidence", "source", _joined("categories"), "hash_type")
+
+
 @query
 def conform_intel(spark, sf):
     """Another provider's table, with repeated indicators and columns of its own."""
