@@ -38,27 +38,90 @@ def test_base_counts(spark, texts):
         assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == base(t), t
 
 
+def kinds():
+    """Good documents, then a class per defect: the rules that see it."""
+    return [(), *rules.FAMILIES.values()]
+
+
+def likelihoods(shares, without, with_, vote):
+    """Probability of each kind together with the votes, every rule multiplied in."""
+    out = []
+    for share, seen in zip(shares, kinds(), strict=True):
+        for rule, v in zip(rules.RULES, vote, strict=True):
+            if v is not None:
+                share *= (with_ if rule in seen else without)[rule][v]
+        out.append(share)
+    return out
+
+
 def slow_posterior(found, vote):
-    good = math.log(found.prior) + sum(math.log(found.good[r] if v else 1 - found.good[r]) for r, v in vote.items() if v is not None)
-    bad = math.log(1 - found.prior) + sum(math.log(1 - found.bad[r] if v else found.bad[r]) for r, v in vote.items() if v is not None)
-    return 1 / (1 + math.exp(bad - good))
-
-
-def test_em_finds_single_defects():
-    rnd = random.Random(2)
-    names, patterns = list(rules.RULES), Counter()
-    for _ in range(5000):
-        votes = [None if rnd.random() < 0.05 else 1 for _ in names]
-        if rnd.random() < 0.15:
-            votes[rnd.randrange(4)] = 0
-        patterns[tuple(votes)] += 1
-    found = rules.estimate(sorted(patterns.items(), key=str))
-    assert 0.75 < found.prior < 0.95
-    for j in range(4):
-        vote = dict.fromkeys(names, 1) | {names[j]: 0}
-        assert slow_posterior(found, vote) < 0.5
-    assert slow_posterior(found, dict.fromkeys(names, 1)) > 0.9
-    assert rules.estimate([]).prior == 0.9
+    parts = likelihoods([found.prior, *found.defects.values()], found.without, found.with_, vote)
+    return parts[0] / sum(parts)
+
+
+def slow_em(documents, rounds):
+    """EM document by document, by plain Bayes over the kinds."""
+    n, k = len(documents), len(rules.FAMILIES)
+    usual = [rules.USUAL_SHARE] + [(1 - rules.USUAL_SHARE) / k] * k
+    shares, without, with_ = usual, dict.fromkeys(rules.RULES, rules.EXPECTED_WITHOUT), dict.fromkeys(rules.RULES, rules.EXPECTED_WITH)
+    for _ in range(rounds):
+        soft = []
+        for d in documents:
+            parts = likelihoods(shares, without, with_, d)
+            soft.append([x / sum(parts) for x in parts])
+        small, large = rules.OTHER_WEIGHT * n, rules.WITHOUT_WEIGHT * n
+        shares = [(sum(q[i] for q in soft) + small * usual[i]) / (n + small) for i in range(k + 1)]
+        fresh = {}, {}
+        for j, rule in enumerate(rules.RULES):
+            at = next(i for i, seen in enumerate(kinds()) if rule in seen)
+            for there, weight, expected in ((0, large, rules.EXPECTED_WITHOUT), (1, small, rules.EXPECTED_WITH)):
+                votes = [(q[at] if there else 1 - q[at], d[j]) for q, d in zip(soft, documents, strict=True) if d[j] is not None]
+                total = sum(q for q, _ in votes) + weight
+                fresh[there][rule] = [(sum(q for q, v in votes if v == x) + weight * expected[x]) / total for x in range(3)]
+        without, with_ = fresh
+    return shares, without, with_
+
+
+def drawn(n, seed):
+    """Documents with a few errors of one rule, and defects that one, two or three rules see."""
+    rnd = random.Random(seed)
+    names = list(rules.RULES)
+    out = []
+    for _ in range(n):
+        vote = {r: None if rnd.random() < 0.04 else rules.GOOD for r in names}
+        kind = rnd.random()
+        if kind < 0.08:
+            vote["symbols"] = rules.BAD
+        elif kind < 0.12:
+            vote |= {"repetition": rules.BAD, "stutter": rules.BAD if rnd.random() < 0.9 else rules.GOOD, "vocabulary": rules.BAD if rnd.random() < 0.9 else rules.GOOD}
+        elif kind < 0.20:
+            vote["repetition"] = rules.DOUBTFUL
+        out.append(tuple(vote.values()))
+    return out
+
+
+def test_em_against_plain_em():
+    documents = drawn(400, 2)
+    found = rules.estimate(sorted(Counter(documents).items(), key=str), rounds=12)
+    shares, without, with_ = slow_em(documents, 12)
+    assert [found.prior, *found.defects.values()] == pytest.approx(shares)
+    for rule in rules.RULES:
+        assert found.without[rule] == pytest.approx(without[rule]) and found.with_[rule] == pytest.approx(with_[rule])
+
+
+def test_posterior_decides():
+    """A defect one rule sees is found; frequent doubts cost little; a bad vote counts less if its family saw nothing."""
+    documents = drawn(5000, 3)
+    counted = sorted(Counter(documents).items(), key=str)
+    found = rules.estimate(counted)
+    fine = dict.fromkeys(rules.RULES, rules.GOOD)
+    at = lambda **v: slow_posterior(found, tuple((fine | v).values()))
+    assert at() > 0.9 and at(symbols=rules.BAD) < 0.5 and at(repetition=rules.DOUBTFUL) > 0.5
+    assert at(repetition=rules.BAD, stutter=rules.BAD) < 0.1 < at(repetition=rules.BAD)
+    assert at(repetition=rules.DOUBTFUL, stutter=rules.DOUBTFUL, vocabulary=rules.DOUBTFUL) < 0.5
+    larger = rules.estimate([(v, 1000 * n) for v, n in counted])
+    assert larger.prior == pytest.approx(found.prior) and larger.with_["symbols"] == pytest.approx(found.with_["symbols"])
+    assert rules.estimate([]).prior == rules.USUAL_SHARE
 
 
 def test_judge(spark, docs, corpus, empty):
@@ -66,9 +129,8 @@ def test_judge(spark, docs, corpus, empty):
     assert len(found) == len(corpus)
     votes = [(tuple(r.votes), r.posterior) for r in found]
     weights = rules.estimate(sorted(Counter(v for v, _ in votes).items(), key=str))
-    names = list(rules.RULES)
     for r in found:
-        assert r.posterior == pytest.approx(slow_posterior(weights, dict(zip(names, r.votes, strict=True))))
+        assert r.posterior == pytest.approx(slow_posterior(weights, tuple(r.votes)))
         failed = r.stats.n_words < 20 or 100 * r.stats.n_repeat_words > 30 * r.stats.n_words
         assert r.base_failed == failed and r.kept == (not failed and r.posterior >= 0.5)
     assert rules.judge(empty).collect() == []
@@ -90,7 +152,7 @@ def test_plan_stays_in_the_jvm(docs, capsys):
 
 
 def test_junk_is_rejected_on_the_given_tables(spark):
-    sf = "/root/testdata/sf0.1"
+    sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     found = rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, F.col("id") == F.col("doc_id"))
     counts = {(r.quality, r.kept): r["count"] for r in found.where("stats.n_words >= 20").groupBy("quality", "kept").count().collect()}

@@ -1,9 +1,11 @@
-"""Quality rules as weak supervision: rules vote or abstain, EM weighs them, a posterior decides.
+"""Quality rules as weak supervision: rules vote in grades or abstain, EM weighs them, a posterior decides.
 
 Statistics, votes and posterior are built-in column functions over whole texts; nothing leaves the JVM.
-Rules know single defects, so a bad document gets most good votes and few bad ones. EM therefore
-estimates two accuracies per rule, how often it recognises a good and a bad document, from the counts
-of vote patterns (at most 3 to the number of rules, whatever the corpus), summed over all documents.
+A rule calls a document good, doubtful or bad, or says nothing. A bad document has one kind of defect, which the rules
+of that family may see while the others vote as on good documents. EM estimates the share of each kind and how often each
+rule casts each vote with and without its defect, from the counts of vote patterns (at most 4 to the number of rules,
+whatever the corpus), summed over all documents. So a doubtful vote that good documents often get costs little, and
+several of one family add up.
 """
 
 from __future__ import annotations
@@ -21,25 +23,31 @@ _GAP, _GAPS = "[\\x20\\x09-\\x0D]+", " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 #: Words of a window whose repetition counts.
 WINDOW = 8
-#: Rule -> (statistic, side, bad beyond, good up to). Between the two it abstains.
+#: Rule -> (statistic, side, bad beyond, doubtful beyond, good up to). Between the last two it abstains.
 RULES = {
-    "repetition": ("repeat_share", "above", 0.30, 0.05),
-    "symbols": ("symbol_share", "above", 0.20, 0.02),
-    "capitals": ("upper_share", "above", 0.50, 0.15),
-    "stutter": ("stutter_share", "above", 0.20, 0.05),
-    "same_lines": ("dup_line_share", "above", 0.50, 0.10),
-    "long_words": ("mean_word", "above", 14.0, 10.0),
-    "short_words": ("mean_word", "below", 2.0, 3.0),
-    "few_words": ("n_words", "below", 20.0, 40.0),
-    "vocabulary": ("distinct_share", "below", 0.08, 0.20),
+    "repetition": ("repeat_share", "above", 0.30, 0.10, 0.05),
+    "symbols": ("symbol_share", "above", 0.20, 0.10, 0.02),
+    "capitals": ("upper_share", "above", 0.50, 0.30, 0.15),
+    "stutter": ("stutter_share", "above", 0.20, 0.10, 0.05),
+    "same_lines": ("dup_line_share", "above", 0.50, 0.30, 0.10),
+    "long_words": ("mean_word", "above", 14.0, 12.0, 10.0),
+    "short_words": ("mean_word", "below", 2.0, 2.5, 3.0),
+    "few_words": ("n_words", "below", 20.0, 30.0, 40.0),
+    "vocabulary": ("distinct_share", "below", 0.08, 0.14, 0.20),
 }
-#: Bounds of the estimated accuracies. Each rule looks for a defect of its own, which good documents
-#: have once in a thousand at most; without that bound two-class EM takes the most correlated rules
-#: for the truth and explains a defect that comes alone as noise.
-GOOD_BOUNDS, BAD_BOUNDS = (0.999, 0.99999), (0.01, 0.99)
-#: Share of good documents expected beforehand; counts as much as the documents. Votes alone can't
-#: tell a good document from a bad one to which no rule objects.
-USUAL_SHARE = 0.9
+#: Votes, from worst to best.
+BAD, DOUBTFUL, GOOD = 0, 1, 2
+#: Kinds of defects and the rules that see them. Two classes without kinds would not do: rules that go together would be
+#: taken for the truth, and a defect that only one rule sees for an error of that rule.
+FAMILIES = {
+    "repeating": ("repetition", "stutter", "vocabulary"), "lines": ("same_lines",), "symbols": ("symbols",),
+    "capitals": ("capitals",), "words": ("long_words", "short_words"), "length": ("few_words",),
+}
+#: Shares of the three votes expected without and with a defect of the rule's family, and of good documents.
+EXPECTED_WITHOUT, EXPECTED_WITH, USUAL_SHARE = (0.002, 0.028, 0.97), (0.4, 0.2, 0.4), 0.9
+#: What they count for, as a share of the documents, so alike at every size. Of a family with one rule the votes alone
+#: can't tell a defect from an error; there the votes expected without a defect decide, so they weigh most.
+WITHOUT_WEIGHT, OTHER_WEIGHT = 0.1, 0.01
 KEEP_FROM = 0.5
 
 
@@ -103,64 +111,85 @@ def base_failed(stats: str = "__stats") -> Column:
 
 
 def votes(stats: str = "__stats") -> Column:
-    """Struct of one vote per rule: 1 good, 0 bad, null abstains."""
+    """Struct of one vote per rule: 0 bad, 1 doubtful, 2 good, null abstains."""
     cells = []
-    for rule, (statistic, side, bad, good) in RULES.items():
+    for rule, (statistic, side, bad, doubtful, good) in RULES.items():
         x = F.col(f"{stats}.{statistic}")
-        is_bad, is_good = (x > bad, x <= good) if side == "above" else (x < bad, x >= good)
-        cells.append(F.when(is_bad, 0).when(is_good, 1).alias(rule))
+        worse, fine = (lambda bound: x > bound, x <= good) if side == "above" else (lambda bound: x < bound, x >= good)  # noqa: B023
+        cells.append(F.when(worse(bad), BAD).when(worse(doubtful), DOUBTFUL).when(fine, GOOD).alias(rule))
     return F.struct(*cells)
 
 
 @dataclass(frozen=True)
 class Accuracies:
-    """prior: share of good documents; good[rule], bad[rule]: how often the rule is right about either kind."""
+    """prior: share of good documents; defects[family]: of those with its defect; without[rule], with_[rule]: shares of the
+    rule's bad, doubtful and good votes on documents without and with a defect of its family."""
 
     prior: float
-    good: dict[str, float]
-    bad: dict[str, float]
+    defects: dict[str, float]
+    without: dict[str, tuple[float, ...]]
+    with_: dict[str, tuple[float, ...]]
+
+    def weight(self, rule: str, level: int) -> float:
+        """Log ratio of a vote with the defect to without it."""
+        return math.log(self.with_[rule][level] / self.without[rule][level])
 
     def posterior(self, vote: str) -> Column:
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for rule in RULES:
-            a, b, v = self.good[rule], self.bad[rule], F.col(f"{vote}.{rule}")
-            odds = odds + F.when(v == 1, math.log(a / (1 - b))).when(v == 0, math.log((1 - a) / b)).otherwise(0.0)
-        return 1 / (1 + F.exp(-odds))
+        """Probability of no defect: votes of other families cancel in the ratio of a defect to none."""
+        against = F.lit(1.0)
+        for family, rules in FAMILIES.items():
+            odds = F.lit(math.log(self.defects[family] / self.prior))
+            for rule in rules:
+                v = F.col(f"{vote}.{rule}")
+                levels = F.when(v == BAD, self.weight(rule, BAD)).when(v == DOUBTFUL, self.weight(rule, DOUBTFUL)).when(v == GOOD, self.weight(rule, GOOD))
+                odds = odds + levels.otherwise(0.0)
+            against = against + F.exp(odds)
+        return 1 / against
+
+
+def _mixed(counts: list[float], expected: tuple[float, ...], weight: float) -> tuple[float, ...]:
+    """Shares of the counts with the expected ones mixed in as ``weight`` documents."""
+    whole = sum(counts) + weight
+    return tuple((c + weight * e) / whole for c, e in zip(counts, expected, strict=True))
 
 
-def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 60) -> Accuracies:
-    """EM over counted vote patterns (votes in the order of ``RULES``). No pattern: the starting point.
+def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 200) -> Accuracies:
+    """EM over counted vote patterns (votes in the order of ``RULES``). No pattern: what is expected.
 
-    It starts from the belief that a bad vote means a bad document; pseudo-counts and the bounds above
-    keep every accuracy off 0 and 1.
+    It starts from the expected shares, so from the belief that bad votes mean defects. Expectations weigh a share
+    of the documents: twice the documents in the same proportions give the same estimates.
     """
-    names, size = list(RULES), len(RULES)
-    belief = [0.95 if 0 not in v else 0.2 ** v.count(0) for v, _ in patterns]
-    prior, good, bad = USUAL_SHARE, [GOOD_BOUNDS[0]] * size, [0.3] * size
-    for _ in range(rounds if patterns else 0):
-        total = sum(n for _, n in patterns)
-        prior = (sum(q * n for q, (_, n) in zip(belief, patterns, strict=True)) / total + USUAL_SHARE) / 2
-        for j in range(size):
-            right = seen = bad_right = bad_seen = 0.0
-            for q, (v, n) in zip(belief, patterns, strict=True):
-                if v[j] is not None:
-                    seen += q * n
-                    bad_seen += (1 - q) * n
-                    right += q * n * v[j]
-                    bad_right += (1 - q) * n * (1 - v[j])
-            good[j] = min(max((right + 19) / (seen + 20), GOOD_BOUNDS[0]), GOOD_BOUNDS[1])
-            bad[j] = min(max((bad_right + 1) / (bad_seen + 4), BAD_BOUNDS[0]), BAD_BOUNDS[1])
-        fresh = []
+    place = {rule: j for j, rule in enumerate(RULES)}
+    usual = (USUAL_SHARE, *[(1 - USUAL_SHARE) / len(FAMILIES)] * len(FAMILIES))
+    found = Accuracies(USUAL_SHARE, dict(zip(FAMILIES, usual[1:], strict=True)), dict.fromkeys(RULES, EXPECTED_WITHOUT), dict.fromkeys(RULES, EXPECTED_WITH))
+    total = sum(n for _, n in patterns)
+    last: list[list[float]] = []
+    for _ in range(rounds if total else 0):
+        beliefs = []  # per pattern: good, then the families
         for v, _ in patterns:
-            odds = math.log(prior / (1 - prior))
-            for j, x in enumerate(v):
-                if x is not None:
-                    odds += math.log(good[j] / (1 - bad[j])) if x else math.log((1 - good[j]) / bad[j])
-            fresh.append(1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))))
-        if max(abs(a - b) for a, b in zip(belief, fresh, strict=True)) < 1e-9:
+            odds = [1.0]
+            for family, rules in FAMILIES.items():
+                seen = sum(found.weight(r, v[place[r]]) for r in rules if v[place[r]] is not None)
+                odds.append(math.exp(math.log(found.defects[family] / found.prior) + seen))
+            beliefs.append([o / sum(odds) for o in odds])
+        if last and max(abs(a - b) for x, y in zip(beliefs, last, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9:
             break
-        belief = fresh
-    return Accuracies(prior, dict(zip(names, good, strict=True)), dict(zip(names, bad, strict=True)))
+        last = beliefs
+        sizes = [sum(q[k] * n for q, (_, n) in zip(beliefs, patterns, strict=True)) for k in range(len(usual))]
+        shares = _mixed(sizes, usual, OTHER_WEIGHT * total)
+        without, with_ = {}, {}
+        for k, rules in enumerate(FAMILIES.values(), 1):
+            for rule in rules:
+                cast = ([0.0] * 3, [0.0] * 3)
+                for q, (v, n) in zip(beliefs, patterns, strict=True):
+                    x = v[place[rule]]
+                    if x is not None:
+                        cast[0][x] += (1 - q[k]) * n
+                        cast[1][x] += q[k] * n
+                without[rule] = _mixed(cast[0], EXPECTED_WITHOUT, WITHOUT_WEIGHT * total)
+                with_[rule] = _mixed(cast[1], EXPECTED_WITH, OTHER_WEIGHT * total)
+        found = Accuracies(shares[0], dict(zip(FAMILIES, shares[1:], strict=True)), without, with_)
+    return found
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +202,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         only = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
         scored = statistics(only).select("id", F.xxhash64("text").alias("th"), F.col("__stats").alias("stats"))
         rows = work.keep(scored.withColumn("votes", votes("stats")), "votes")
-    counted = rows.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** len(RULES) rows
+    counted = rows.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 4 ** len(RULES) rows
     found = estimate(sorted(((tuple(r["votes"]), r["n"]) for r in counted), key=str))
     posterior = found.posterior("votes")
     failed = base_failed("stats")
