@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from threatlake.adapters import sql_text
 from threatlake.catalog.queries import ADDRESSES, ENDPOINT_VARIANTS, LOG_GAP, LOG_LATENESS
-from threatlake.contracts import ANALYSIS_FIELDS, CORRELATION_FIELDS
+from threatlake.contracts import ANALYSIS_FIELDS, CORE_FEATURES, CORRELATION_FIELDS
 from threatlake.operators.alerts import ASK_MANY, ASK_ONE
 
 EVENTS, FLOWS, DIRTY, FULL = sql_text("threat_events"), sql_text("flows"), sql_text("flows_dirty"), sql_text("full_flows")
@@ -243,6 +243,12 @@ y AS (SELECT row_key, CASE WHEN total_bwd_packets_text = 'bad' THEN 'total_bwd_p
   CASE WHEN isinf(flow_duration) THEN 'flow_duration' ELSE '' END AS inf_features FROM x)
 SELECT row_key, invalid_type_features = '' AND nan_features = '' AND inf_features = '' AS is_valid, invalid_type_features, nan_features, inf_features,
   'row_key,urg_flag,ts' AS extra_features, '' AS missing_features, 4 AS expected_feature_count, 7 AS provided_feature_count FROM y""",
+    "validate_flow_documents": f"""WITH x AS ({DIRTY}),
+y AS (SELECT row_key, CASE WHEN fwd_pkt_len_mean IS NULL THEN 'fwd_pkt_len_mean' ELSE '' END AS missing_features,
+  CASE WHEN total_bwd_packets_text = 'bad' THEN 'total_bwd_packets_text' ELSE '' END AS invalid_type_features,
+  CASE WHEN isnan(total_fwd_packets) THEN 'total_fwd_packets' ELSE '' END AS nan_features, CASE WHEN isinf(flow_duration) THEN 'flow_duration' ELSE '' END AS inf_features FROM x)
+SELECT *, concat(missing_features, invalid_type_features, nan_features, inf_features) = '' AS is_valid, 'row_key,urg_flag,ts' AS extra_features,
+  4 AS expected_feature_count, CASE WHEN missing_features = '' THEN 7 ELSE 6 END AS provided_feature_count FROM y""",
     "validate_alerts": f"""SELECT arrival_seq, errors, {_n_faults('errors')} AS n_errors FROM (SELECT arrival_seq, {ALERT_FAULTS} AS errors FROM ({DESK}) a) x""",
     "validate_ai_answers": f"""WITH a AS ({DESK}),
 b AS (SELECT *, destination_ip LIKE '%2' AS prose, protocol = 'TCP' AS cut, {ANSWER_FAULTS} AS faults FROM a)
@@ -368,6 +374,11 @@ SELECT flow_id, round(least(greatest((hi - total_fwd_bytes) / CASE WHEN hi = lo
     "stream_detect": f"""WITH {FUSED} SELECT flow_id, CASE WHEN m3_confidence IS NULL THEN 'error' ELSE 'success' END AS status,
   CASE WHEN m3_confidence IS NULL THEN 'none' ELSE threat_class END AS threat_class, CASE WHEN m3_confidence IS NULL THEN 'none' ELSE decision END AS decision,
   CASE WHEN m3_confidence IS NULL THEN 'none' ELSE severity END AS severity FROM us""",
+    "stream_counters": f"""WITH {FUSED} SELECT count(m3_confidence) AS processed, count(*) - count(m3_confidence) AS failed,
+  count(*) FILTER (WHERE m3_confidence IS NOT NULL AND decision <> 'BENIGN') AS alerts FROM us""",
+    "scale_features": f"""WITH f AS (SELECT flow_id, dst_port, {', '.join(f'coalesce({c}, 0) AS {c}' for c in CORE_FEATURES)} FROM ({FLOWS}) x),
+m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS d_{c}' for c in CORE_FEATURES)} FROM f WHERE dst_port < 1000)
+SELECT flow_id, {', '.join(f'round(({c} - m_{c}) / d_{c}, 4) + 0::DOUBLE AS {c}' for c in CORE_FEATURES)} FROM f, m""",
     "stream_alerts": f"""WITH a AS (SELECT * FROM ({DESK}) x),
 st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY arrival_seq) AS rn FROM a WHERE protocol = 'UDP') y WHERE rn = 1 AND {ALERT_FAULTS} = ''),
 ok AS (SELECT * FROM a WHERE protocol <> 'UDP' AND {ALERT_FAULTS} = ''),

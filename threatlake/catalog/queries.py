@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.adapters import load, table
-from threatlake.contracts import ANALYSIS_FIELDS, CORE_FEATURES, CORRELATION_FIELDS, flow_contract
+from threatlake.contracts import ANALYSIS_FIELDS, CORE_FEATURES, CORRELATION_FIELDS, flow_contract, parse_contract
 from threatlake.functions import flow as flow_fn, network, scoring, text
 from threatlake.operators import (
     alerts as desk, answers, attack, behaviour, correlate, detection, enrichment, incidents as inc, isolation, models,
@@ -191,6 +193,21 @@ def validate_flows(spark, sf):
     )
 
 
+@query
+def validate_flow_documents(spark, sf):
+    """Flows as JSON documents with padded names, against a contract that is itself read from a document."""
+    rows = load(spark, sf, "flows_dirty")
+    path = scratch_path(spark, "contract")
+    text = json.dumps({"ml_feature_names": DIRTY_FEATURES, "total_ml_features": len(DIRTY_FEATURES), "feature_types": {}})
+    spark.createDataFrame([(text,)], "value string").write.text(path)
+    contract = parse_contract(spark.read.text(path, wholetext=True).where("value <> ''").first()["value"])
+    padded = F.struct(*[F.col(c).alias(f" {c} " if i % 2 else c) for i, c in enumerate(rows.columns)])
+    checked = quality.validate_flow_documents(rows.select("row_key", F.to_json(padded).alias("body")), "body", contract.names, extras=())
+    return checked.select(
+        "row_key", "is_valid", *[_joined(f"report.{c}") for c in ("missing_features", "invalid_type_features", "nan_features", "inf_features", "extra_features")],
+        "report.expected_feature_count", "report.provided_feature_count")
+
+
 @query
 def validate_alerts(spark, sf):
     rows = desk.validate_bodies(desk.to_bodies(load(spark, sf, "desk_alerts")))
@@ -627,6 +644,21 @@ def stream_detect(spark, sf):
         "flow_id", "status", *[F.coalesce(c, F.lit("none")).alias(c) for c in ("threat_class", "decision", "severity")])
 
 
+@query
+def stream_counters(spark, sf):
+    """What a listener has counted of a detection stream when it ends."""
+    flows = _stream(spark, sf, "lineitem", "predicted_flows")
+    counters = jobs.QualityCounters()
+    spark.streams.addListener(counters)
+    out = scratch_path(spark, "detected")
+    jobs.detect_stream(flows, ["m3_confidence", "m4_confidence", "m4_anomaly"], out, scratch_path(spark, "mark"), available_now=True).awaitTermination()
+    rows, deadline = spark.read.parquet(out).count(), time.time() + 30  # listeners run behind the stream
+    while counters.totals["processed"] + counters.totals["failed"] < rows and time.time() < deadline:
+        time.sleep(0.1)
+    spark.streams.removeListener(counters)
+    return spark.createDataFrame([tuple(counters.totals.values())], ", ".join(f"{k} bigint" for k in counters.totals))
+
+
 @query
 def stream_alerts(spark, sf):
     stored, incoming = _stored_and_incoming(spark, sf)
@@ -906,6 +938,14 @@ def flat_forest_check(spark, sf):
         F.count("*").alias("n"), F.count_if(~F.col("a3").eqNullSafe(F.col("b3"))).alias("other_m3"), F.count_if(~F.col("a4").eqNullSafe(F.col("b4"))).alias("other_m4"))
 
 
+@query
+def scale_features(spark, sf):
+    """Features of all flows scaled by the moments of the training half."""
+    rows = load(spark, sf, "flows").select("flow_id", "dst_port", *CORE_FEATURES)
+    scaled = models.scale(rows, list(CORE_FEATURES), rows.where("dst_port < 1000"))
+    return scaled.select("flow_id", *[F.round(c, 4).alias(c) for c in CORE_FEATURES])
+
+
 @query
 def class_weights(spark, sf):
     rows = _labelled(spark, sf).where(F.col("target").isNotNull())
