@@ -1,0 +1,87 @@
+"""What keeps the cost of a query in proportion to its input."""
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from threatlake import adapters, session
+from threatlake.catalog import queries as q
+
+
+@pytest.fixture
+def lone(spark, sf, tmp_path):
+    """The lines in one row group."""
+    lines = pq.read_table(f"{sf}/lineitem.parquet")
+    pq.write_table(lines, tmp_path / "lineitem.parquet", row_group_size=1 << 30)
+    return str(tmp_path)
+
+
+def largest(df):
+    """Share of the rows in the largest partition."""
+    held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(held) / sum(held)
+
+
+def told(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_one_row_group_is_not_one_task(spark, lone):
+    assert largest(q._mixed_flows(spark, lone)) < 0.2
+    even = spark.range(1000, numPartitions=8)
+    assert not adapters.lone_tasks(even) and adapters.spread(even) is even
+    assert told(q._full_flows(spark, lone)) == told(adapters.load(spark, lone, "full_flows"))
+
+
+def test_spreading_an_empty_table(spark):
+    empty = spark.createDataFrame([], "a int")
+    assert adapters.spread(empty).count() == 0
+
+
+def test_carried_columns_stand_behind_the_features(spark, sf):
+    lines = adapters.table(spark, sf, "lineitem").limit(50)
+    full = adapters.full_flows(lines)
+    more = adapters.full_flows(lines, ["l_tax", "l_partkey"])
+    assert more.columns == [*full.columns, "l_tax", "l_partkey"] and told(more.select(full.columns)) == told(full)
+
+
+def test_split_moves_lines_and_not_features(spark, sf, monkeypatch):
+    session.release(spark)
+    monkeypatch.setattr(q, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(q, "_FITTED", {})
+    for name in ("train_m3", "train_m4"):
+        monkeypatch.setattr(q.models, name, lambda df, *a: None)
+    monkeypatch.setattr(q.isolation, "fit", lambda df, *a: None)
+    rows, _ = q.fitted(spark, sf)
+    kept = {t.name.rsplit("_", 1)[0]: spark.table(f"{session.scratch_name(spark)}.{t.name}").columns for t in spark.catalog.listTables(session.scratch_name(spark))}
+    assert set(kept) == {"labelled", "train"} and not set(kept["labelled"]) & set(q.FEATURES)
+    assert rows.columns == [*adapters.load(spark, sf, "full_flows").columns, "target", "split"]
+    assert told(rows.drop("split")) == told(q._labelled(spark, sf))
+
+
+def test_split_tables_leaves_no_table_behind(spark, sf):
+    session.release(spark)
+    assert q.split_tables(spark, sf).count() and not spark.catalog.listTables(session.scratch_name(spark))
+
+
+def test_an_arrival_is_one_micro_batch(spark, sf, monkeypatch):
+    paths, updates, events = [], q.jobs.window_updates, q._events(spark, sf)
+    monkeypatch.setattr(q, "_events", lambda *a: events.repartition(4))
+    monkeypatch.setattr(q.jobs, "window_updates", lambda counted, table, *a, **k: paths.append(table) or updates(counted, table, *a, **k))
+    rows = q.stream_late(spark, sf)
+    assert spark.read.parquet(paths[0]).select("batch_id").distinct().count() == 3
+    assert rows.agg(F.sum("event_count")).first()[0] == events.count()
+
+
+def test_registered_queries_set_what_they_rely_on(spark, sf):
+    given = {name: spark.conf.get(name) for name in {**session.OPEN_FILES, **session.SHORT_METHODS}}
+    assert set(session.OPEN_FILES.items()) <= set(given.items())
+    try:
+        for name in given:
+            spark.conf.unset(name)
+        entry.queries()["head_n"](spark, sf)
+        assert {name: spark.conf.get(name) for name in given} == {**session.OPEN_FILES, **session.SHORT_METHODS}
+    finally:
+        for name, value in given.items():
+            spark.conf.set(name, value)
