@@ -37,6 +37,20 @@ def test_encoder_special(text):
     check_texts(text)
 
 
+def test_latin_texts_never_go_through_the_whole_tokenizer(monkeypatch):
+    """Every pair of Latin-1 characters between letters: the parts are the tokenizer's own, found without it."""
+    fresh, chars = Encoder(), [chr(c) for c in range(256)]
+    assert fresh.by_part
+    texts = ["x".join(f"a{a}{b}b " for b in chars if a + b != "<|") for a in chars]
+    told = [ids(text) for text in texts]
+    monkeypatch.setattr(Encoder, "_whole", lambda self, text: pytest.fail(text))
+    assert [np.frombuffer(fresh.ids(text), "<u4").tolist() for text in texts] == told
+
+
+def test_encoder_capitals_beyond_latin():
+    check_texts("\u0100 A \u00c9D ## \u00d7 a#")
+
+
 def test_encoder_forgets_without_harm(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 5)
     fresh = Encoder()

@@ -1,12 +1,14 @@
 """Token ids of whole texts by a public tokenizer, and the histogram of encoded lengths.
 
 The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
-blank-separated chunks in order. Chunks repeat, texts don't: a task keeps the ids of the chunks it
-has met (a bounded number, the latest) and asks the tokenizer only for new ones.
+blank-separated chunks in order; where its rule for parts is the known one, a chunk is such a part.
+Chunks repeat, texts don't: a task keeps the ids of the chunks it has met (a bounded number, the
+latest) and asks the tokenizer only for new ones.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from functools import cache
@@ -23,6 +25,13 @@ TOKENIZER = "word_bpe_49k.json"
 KEPT, LONGEST = 120_000, 64
 #: Texts that a tokenizer must encode like their parts if chunks are to be encoded alone.
 _PROBES = (("Word, and words!", ("word", ",", "and", "words", "!")), (" a\n\tGr\u00f6\u00dfe \u00c9t\u00e9.", ("a", "gr\u00f6\u00dfe", "\u00e9t\u00e9", ".")))
+#: How the known tokenizer finds the parts of a text, after it has lower-cased it.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: The same rule for texts of Latin-1 characters in lower case; a capital is in no part.
+_LETTERS, _NUMBERS, _SPACES = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+_CAPITALS = "A-Z\u00c0-\u00d6\u00d8-\u00de"
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}{_CAPITALS}]+")
 #: A mark that stands alone between a letter or digit and a blank: it is a part of its own either way.
 _MARK = re.compile(r"[.,;:!?](?= |$)(?<=[^\W_].)")
 #: Byte -> the character that stands for it in byte-level vocabularies: printable ones are their own.
@@ -35,12 +44,23 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _known_rule(tokenizer) -> bool:
+    """Its steps before the merges are those that ``_PARTS`` follows."""
+    made = [json.loads(step.__getstate__()) if step is not None else {} for step in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    cut, *after = made[1].get("pretokenizers") or [{}]
+    return (
+        made[0].get("normalizers") == _NORMALIZERS and cut.get("pattern") == {"Regex": _RULE} and cut.get("behavior") == "Removed" and cut.get("invert") is True
+        and [(step.get("type"), step.get("add_prefix_space"), step.get("use_regex")) for step in after] == [("ByteLevel", False, False)]
+    )
+
+
 class Encoder(dict):
     """chunk -> its ids as little-endian 32-bit bytes, for a tokenizer that lower-cases and drops white space.
 
-    Texts of Latin-1 characters are lower-cased first, and single marks parted from their words, so
-    that the chunks met are mostly known; a new chunk of letters goes straight to the vocabulary's merges.
-    Other chunks go through the whole tokenizer. A tokenizer of another kind gets whole texts.
+    Texts of Latin-1 characters are lower-cased first and cut into parts by the tokenizer's own rule, if it
+    is the known one; else single marks are parted from their words, so that the chunks met are mostly known.
+    A new part, or chunk of letters, goes straight to the vocabulary's merges. Other chunks go through the
+    whole tokenizer. A tokenizer of another kind gets whole texts.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -53,20 +73,22 @@ class Encoder(dict):
         tokenizer = Tokenizer.from_file(path)
         self._encode, self._merge, self.old = tokenizer.encode, tokenizer.model.tokenize, {}
         self.by_chunk = all(self._whole(text) == b"".join(map(self._word, parts)) for text, parts in _PROBES)
+        self.by_part = self.by_chunk and _known_rule(tokenizer)
 
     def _whole(self, text: str) -> bytes:
         return _packed(self._encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        if not word.isascii():
+        if not (word.isascii() and word.isprintable()):
             word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return _packed([t.id for t in self._merge(word)])
+        return b"".join([t.id.to_bytes(4, "little") for t in self._merge(word)])
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
             plain = chunk.isalpha() and chunk.islower() and (chunk.isascii() or max(chunk) < "\u0100")
-            ids = self._word(chunk) if plain else self._whole(chunk)
+            part = plain or (self.by_part and _PARTS.fullmatch(chunk) and max(chunk) < "\u0100")
+            ids = self._word(chunk) if part else self._whole(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= KEPT:
                 self.old = dict(self)
@@ -81,12 +103,15 @@ class Encoder(dict):
             return b""
         if not self.by_chunk:
             return self._whole(text)
+        latin = (text.isascii() or max(text) < "\u0100") and "<|" not in text
+        get = self.__getitem__
+        if latin and self.by_part:
+            return b"".join(map(get, _PARTS.findall(text.lower())))
         for c in "\n\t\r":
             if c in text:
                 text = text.replace(c, " ")
-        if (text.isascii() or max(text) < "\u0100") and "<|" not in text:
+        if latin:
             text = _MARK.sub(r" \g<0>", text.lower())
-        get = self.__getitem__
         return b"".join([get(chunk) for chunk in text.split(" ") if chunk])
 
 
