@@ -1,12 +1,15 @@
 """What keeps the cost of a query in proportion to its input."""
 
+import threading
+
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 import __spark_entry__ as entry
 from threatlake import adapters, session
 from threatlake.catalog import queries as q
+from threatlake.operators import models, quality
 
 
 @pytest.fixture
@@ -85,3 +88,41 @@ def test_registered_queries_set_what_they_rely_on(spark, sf):
     finally:
         for name, value in given.items():
             spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("parts", [{"train": 0.7, "test": 0.3}, {"a": 0.0, "b": 0.35, "c": 0.3, "d": 0.35}, {"all": 1.0}])
+def test_exact_split_moves_no_rows(spark, parts):
+    """The places are those of one sort per class, also where keys repeat or are null; only counts are written, and rows of a cut key."""
+    df = spark.range(900).selectExpr("CASE WHEN id % 5 <> 0 THEN string(id % 401) END AS k", "CASE WHEN id % 3 < 2 THEN 'x' END AS label")
+    written = {}
+    got = quality.stratified_split(df, "label", "k", parts, exact=True, table=lambda t, name: written.setdefault(name, session.materialise(t, name)))
+    held = {name for name, t in written.items() if "k" in t.columns}
+    assert held <= {"sliced", "slices"} and all(written[name].select("label", "k").distinct().count() <= 2 * len(parts) for name in held)
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("k", F.lit(42)), "k")) - 1
+    share, want, edge = place / F.count("*").over(W.partitionBy("label")), None, 0.0
+    for name, part in parts.items():
+        edge += part
+        want = F.when(share < edge, name) if want is None else want.when((share < edge) | F.lit(name == list(parts)[-1]), name)
+    counts = lambda rows: told(rows.groupBy("label", "k", "split").count())
+    assert counts(got) == counts(df.withColumn("split", want))
+
+
+def test_models_are_fitted_at_once(spark, sf, monkeypatch):
+    met = threading.Barrier(3)
+    monkeypatch.setattr(q, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(q, "_FITTED", {})
+    for owner, name in ((q.models, "train_m3"), (q.models, "train_m4"), (q.isolation, "fit")):
+        monkeypatch.setattr(owner, name, lambda df, *a, own=name: met.wait(60) >= 0 and own)
+    _, found = q.fitted(spark, sf)
+    assert (found.m3, found.m4, found.anomaly) == ("train_m3", "train_m4", "fit")
+
+
+def test_a_forest_judges_whole_batches(spark):
+    """Bit by bit what Spark's own stages say, broken numbers included, without a walk of tree objects per row."""
+    df = spark.range(400).selectExpr("id", "id % 7 * 1.5 AS a", "CASE WHEN id % 11 = 0 THEN 'oops' ELSE string(id % 13) END AS b",
+                                     "CASE WHEN id % 9 = 0 THEN double('NaN') ELSE sqrt(id) END AS c", "element_at(array('x', 'y', 'z'), int(id % 3) + 1) AS target")
+    features = ["a", "b", "c"]
+    model = models.train_m4(df, features, settings=models.ForestSettings(trees=5, depth=5))
+    batches, walked = models.apply_forest(df, model, features, "m"), models.apply_forest(df, model, features, "m", walk=True)
+    assert batches.columns == walked.columns and told(batches) == told(walked)
+    assert "UDF(" not in batches._jdf.queryExecution().executedPlan().toString()
