@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from threatlake import adapters, session
 from threatlake.catalog import queries as q
 from threatlake.operators import models, quality
+from threatlake.plans import detect
 
 
 @pytest.fixture
@@ -126,3 +127,19 @@ def test_a_forest_judges_whole_batches(spark):
     batches, walked = models.apply_forest(df, model, features, "m"), models.apply_forest(df, model, features, "m", walk=True)
     assert batches.columns == walked.columns and told(batches) == told(walked)
     assert "UDF(" not in batches._jdf.queryExecution().executedPlan().toString()
+
+
+def test_train_check_judges_both_models_in_one_pass(spark, monkeypatch):
+    """Rows per class, accuracy over all rows that have a class, and one Arrow pass for it all."""
+    rows = spark.range(300).selectExpr("id", "double(id % 7) AS a", "CASE id % 5 WHEN 0 THEN 'BENIGN' WHEN 1 THEN 'DDOS' WHEN 2 THEN 'PORT_SCAN' END AS target",
+                                       "CASE WHEN id % 3 = 0 THEN 'train' ELSE 'test' END AS split")
+    size = models.ForestSettings(trees=3, depth=4)
+    found = detect.Detectors(["a"], models.train_m4(rows, ["a"], settings=size), models.train_m3(rows, ["a"], settings=size))
+    monkeypatch.setattr(q, "FEATURES", ["a"])
+    monkeypatch.setattr(q, "fitted", lambda spark, sf: (rows, found))
+    for least, met in ((0.0, True), (1.01, False)):
+        monkeypatch.setattr(q, "LEAST_ACCURACY", least)
+        out = q.train_check(spark, "")
+        assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        want = [(m, t, n, 0, 0, met) for m in ("m3", "m4") for t, n in (("BENIGN", 40), ("DDOS", 40), ("PORT_SCAN", 40), ("none", 80))]
+        assert sorted(map(tuple, out.collect())) == sorted(want)
