@@ -55,6 +55,16 @@ def test_flat_forests_are_the_models(spark, data, found):
         assert probability[tuple(row)] == p.tolist()
 
 
+def test_a_reloaded_forest_judges_with_what_was_read_back(spark, found, tmp_path):
+    """It has the uid of the saved one, but the nodes of its own files."""
+    found.save(str(tmp_path), spark)
+    again = plan.Detectors.load(str(tmp_path), spark)
+    for mine, other in ((found.m4, again.m4), (found.m3, again.m3)):
+        a, b = forests.flat(mine, spark), forests.flat(other, spark)
+        assert a is not b and forests.flat(other, spark) is b and a.labels == b.labels
+        assert all(np.array_equal(x, y) for s, t in zip(a.trees, b.trees, strict=True) for x, y in zip(s, t, strict=True))
+
+
 def _probabilities(df, model):
     out = df.select(*FEATURES)
     for stage in model.stages[1:]:
