@@ -212,3 +212,31 @@ def test_models_are_fitted_anew_after_release(spark, sf, monkeypatch):
     before = q.predict_batch(spark, sf).count()
     session.release(spark)
     assert q.predict_batch(spark, sf).count() == before and len(q._FITTED) == 1
+
+
+def test_flat_detection_works_out_no_nested_event(data, found):
+    """The table of an investigation has the columns that are read; titles, class maps and alert ids are not among them."""
+    rows = mixed(data)
+    whole, flat = (plan.detect_flows(rows, found, ["k"], carry=["seq"], nested=nested) for nested in (True, False))
+    assert told(plan.flat_events(flat, ["k"], ["seq"])) == told(plan.flat_events(whole, ["k"], ["seq"]))
+    assert plan.flat_events(flat, ["k"], ["seq"]).schema == plan.flat_events(whole, ["k"], ["seq"]).schema
+    assert told(plan.quarantine(flat, ["k"])) == told(plan.quarantine(whole, ["k"]))
+    assert flat.count() == 600 and "forest_pair" not in flat._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_investigation_writes_what_is_read(spark, data, found, monkeypatch):
+    written = {}
+    monkeypatch.setattr(investigate, "materialise", lambda df, purpose: written.setdefault(purpose, session.materialise(df, purpose)))
+    investigate.investigate_flows(mixed(data), load(spark, "/root/testdata/sf0.001", "intel"), found, ["k"], ["seq"])
+    assert "event" not in written["detected"].columns and written["detected"].count() == 600
+
+
+def test_models_judge_only_the_rows_asked_for(data, found):
+    """The others get nulls, a batch without any row to judge included."""
+    all_rows = {r["k"]: r for r in models.predict(data, FEATURES, found.m4, found.m3, found.anomaly).collect()}
+    for where in (F.col("seq") % 3 == 0, F.lit(False), F.when(F.col("seq") % 3 == 0, True)):
+        some = models.predict(data.withColumn("asked", where), FEATURES, found.m4, found.m3, found.anomaly, F.col("asked")).collect()
+        for r in some:
+            for c in (f"{m}_{part}" for m in ("m4", "m3") for part in ("class", "confidence", "probabilities")):
+                assert r[c] == (all_rows[r["k"]][c] if r["asked"] else None)
+            assert r["m4_anomaly"] == (all_rows[r["k"]]["m4_anomaly"] if r["asked"] else None)
