@@ -240,3 +240,19 @@ def test_models_judge_only_the_rows_asked_for(data, found):
             for c in (f"{m}_{part}" for m in ("m4", "m3") for part in ("class", "confidence", "probabilities")):
                 assert r[c] == (all_rows[r["k"]][c] if r["asked"] else None)
             assert r["m4_anomaly"] == (all_rows[r["k"]]["m4_anomaly"] if r["asked"] else None)
+
+
+def test_event_stream_writes_what_is_read(spark, data, found, tmp_path, monkeypatch):
+    written, table = {}, jobs.Scratch.table
+
+    def kept(work, df, purpose):
+        written[purpose] = df.columns
+        return table(work, df, purpose)
+
+    monkeypatch.setattr(jobs.Scratch, "table", kept)
+    drop, out, bad, mark = (str(tmp_path / p) for p in ("drop", "events", "errors", "mark"))
+    rows = mixed(data)
+    rows.write.parquet(drop)
+    jobs.event_stream(source.stream(spark, drop, rows.schema), found, ["k"], ["seq"], out, bad, mark, available_now=True).awaitTermination()
+    assert "event" not in written["detected"]
+    assert spark.read.parquet(out).count() + spark.read.parquet(bad).count() == 600
